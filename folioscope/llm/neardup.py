@@ -114,51 +114,93 @@ def pairs_within(df: DataFrame, bucket: str, item: str, block: int = 256) -> Dat
     return left.join(right, [bucket, "_x", "_y"]).where("a < b").select("a", "b")
 
 
-def linked_classes(s: DataFrame, df: DataFrame, key: str, text: str, threshold: float, width: int, keep: str = "class bigint") -> DataFrame:
-    """(a, b, similarity): pairs of different classes of at least the threshold, of the signed rows `s` of df."""
+def _compared(hot: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """(a, b): pairs of one hot bucket, block against block in numpy, each pair only in the first band in which it agrees."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    rows = hot.select("band", "class", "bands", "low", blocks.alias("m"), own.alias("own"))
+    left = rows.select("band", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("m") - 1)).alias("y"), "class", "bands", "low")
+    # fresh names, as both sides come from the same rows
+    right = rows.select(F.col("band").alias("to_band"), F.explode(F.sequence(F.lit(0), "own")).alias("to_x"), F.col("own").alias("to_y"), F.col("class").alias("to"), F.col("bands").alias("to_bands"), F.col("low").alias("to_low"))
+
+    def of(pdf: pd.DataFrame, name: str, bands: str, low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        packed = np.frombuffer(b"".join(pdf[low]), np.uint8).reshape(len(pdf), -1)
+        cells = np.stack((packed >> 4, packed & 15), axis=2).reshape(len(pdf), -1)
+        return pdf[name].to_numpy(np.int64), np.stack(pdf[bands].to_numpy()), cells
+
+    def compare(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        (a, ka, la), (b, kb, lb) = of(p, "class", "bands", "low"), of(q, "to", "to_bands", "to_low")
+        at = int(np.argmax(ka[0] == key[0]))
+        new = np.ones((len(a), len(b)), bool)
+        for j in range(at):
+            new &= ka[:, j, None] != kb[None, :, j]
+        if key[1] == key[2]:
+            new &= a[:, None] < b[None, :]
+        same = np.zeros((len(a), len(b)), np.uint8)
+        for c in range(HASHES):
+            same += la[:, c, None] == lb[None, :, c]
+        chance = 2.0**-BITS
+        i, j = np.nonzero(new & ((same / HASHES - chance) / (1 - chance) >= threshold - MARGIN))
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+
+    return left.groupBy("band", "x", "y").cogroup(right.groupBy("to_band", "to_x", "to_y")).applyInPandas(compare, "a bigint, b bigint")
+
+
+def candidates(s: DataFrame, threshold: float, few: int = 64) -> DataFrame:
+    """(a, b) of classes that share a bucket and whose estimate isn't far below the threshold."""
     bands = s.select(F.explode("bands").alias("band"), "class").repartition("band").dropDuplicates(["band", "class"])
-    pairs = pairs_within(bands, "band", "class").distinct()
-    one = s.groupBy("class").agg(F.min(key).alias("at"), F.min("low").alias("low"))  # equal in a class
-    both = pairs.join(one.select(F.col("class").alias("a"), F.col("low").alias("low_a"), F.col("at").alias("at_a")), "a")
-    both = both.join(one.select(F.col("class").alias("b"), F.col("low").alias("low_b"), F.col("at").alias("at_b")), "b")
+    shared = staged(bands.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1"), "shared")
+    small = shared.where(F.col("n") <= few)
+    pairs = small.select("band", F.col("class").alias("a")).join(small.select("band", F.col("class").alias("b")), "band").where("a < b").select("a", "b").distinct()
+    one = s.groupBy("class").agg(F.min("low").alias("low"))  # equal in a class
+    both = pairs.join(one.select(F.col("class").alias("a"), F.col("low").alias("low_a")), "a").join(one.select(F.col("class").alias("b"), F.col("low").alias("low_b")), "b")
 
     def near(batches):
         for x in batches:
-            if not x.num_rows:
-                continue
-            la, lb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in ("low_a", "low_b"))
-            yield x.filter(pa.array(estimate(la, lb) >= threshold - MARGIN)).select(["a", "b", "at_a", "at_b"])
-
-    kind = df.schema[key].dataType.simpleString()
-    close = staged(both.mapInArrow(near, f"a bigint, b bigint, at_a {kind}, at_b {kind}"), "close")
-    wanted = close.select(F.explode(F.array("at_a", "at_b")).alias(key)).distinct()
-    texts = staged(df.select(key, F.col(text).alias("t")).join(wanted, key, "left_semi").dropDuplicates([key]), "texts")
-    full = close.join(texts.select(F.col(key).alias("at_a"), F.col("t").alias("ta")), "at_a").join(texts.select(F.col(key).alias("at_b"), F.col("t").alias("tb")), "at_b")
-
-    def exact(batches):
-        sets: dict[str, frozenset] = {}
-
-        def grams(t: str) -> frozenset:
-            if t not in sets:
-                if len(sets) > 2000:
-                    sets.clear()
-                w = words_of(t)
-                sets[t] = frozenset(zip(*(w[k:] for k in range(width)), strict=False)) or frozenset([tuple(w)])
-            return sets[t]
+            if x.num_rows:
+                la, lb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in ("low_a", "low_b"))
+                yield x.filter(pa.array(estimate(la, lb) >= threshold - MARGIN)).select(["a", "b"])
 
-        for x in batches:
-            a, b, sim = [], [], []
-            for i, j, ta, tb in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), x.column("ta").to_pylist(), x.column("tb").to_pylist(), strict=True):
-                p, q = grams(ta), grams(tb)
-                common = len(p & q)
-                union = len(p) + len(q) - common
-                if common >= threshold * union - 1e-9:
-                    a.append(i)
-                    b.append(j)
-                    sim.append(common / union)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
-
-    return full.select("a", "b", "ta", "tb").mapInArrow(exact, "a bigint, b bigint, similarity double")
+    close = both.mapInArrow(near, "a bigint, b bigint")
+    hot = shared.where(F.col("n") > few)
+    wanted = hot.select("class").distinct()
+    signs = s.join(wanted, "class", "left_semi").dropDuplicates(["class"]).select("class", "bands", "low")
+    return close.unionByName(_compared(hot.join(signs, "class"), threshold)).distinct()
+
+
+def linked_classes(s: DataFrame, df: DataFrame, key: str, text: str, threshold: float, width: int) -> DataFrame:
+    """(a, b, similarity): pairs of different classes of at least the threshold, of the signed rows `s` of df.
+
+    The exact check goes over cells of a square of hashes: a text is sent once to each cell that holds a pair of it,
+    not once for each pair.
+    """
+    close = staged(candidates(s, threshold), "close")
+    wanted = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    heads = s.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(key).alias(key))
+    texts = df.select(key, F.col(text).alias("t")).join(heads, key).dropDuplicates(["class"]).select("class", "t")
+    side = max(1, int((close.count() / 4000) ** 0.5))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    placed = close.select("a", "b", cell(F.col("a")).alias("x"), cell(F.col("b")).alias("y"))
+    needs = placed.select(F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.explode(F.array("a", "b")).alias("class")).distinct().join(texts, "class")
+
+    def exact(key_: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        sets = {}
+        for c, t in zip(q["class"].to_numpy(np.int64), q["t"], strict=True):
+            w = words_of(t)
+            sets[c] = frozenset(zip(*(w[k:] for k in range(width)), strict=False)) or frozenset([tuple(w)])
+        a, b, sim = [], [], []
+        for i, j in zip(p["a"].to_numpy(np.int64), p["b"].to_numpy(np.int64), strict=True):
+            common = len(sets[i] & sets[j])
+            union = len(sets[i]) + len(sets[j]) - common
+            if common >= threshold * union - 1e-9:
+                a.append(i)
+                b.append(j)
+                sim.append(common / union)
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "similarity": np.array(sim, float)})
+
+    return placed.groupBy("x", "y").cogroup(needs.groupBy("to_x", "to_y")).applyInPandas(exact, "a bigint, b bigint, similarity double")
 
 
 def prepared(df: DataFrame, key: str, text: str, least: int, width: int) -> DataFrame:
