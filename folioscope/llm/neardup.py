@@ -31,6 +31,8 @@ BANDS, ROWS, BITS = 28, 3, 4
 HASHES = BANDS * ROWS
 #: How far below the threshold an estimate may lie: over four standard deviations of the mean of HASHES trials.
 MARGIN = 0.26
+#: Classes in candidate pairs up to which these are sent to the texts, not the texts to them.
+HEADS_BOUND = 500_000
 PARTS = re.compile(r"[ \t\r\n]+")
 _random = np.random.default_rng(20240607)
 A = _random.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -115,29 +117,23 @@ def pairs_within(df: DataFrame, bucket: str, item: str, block: int = 256) -> Dat
 
 
 def _compared(hot: DataFrame, threshold: float, block: int = 256) -> DataFrame:
-    """(a, b): pairs of one hot bucket, block against block in numpy, each pair only in the first band in which it agrees."""
+    """(a, b): pairs of one hot bucket whose estimate isn't far below the threshold, block against block in numpy."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    rows = hot.select("band", "class", "bands", "low", blocks.alias("m"), own.alias("own"))
-    left = rows.select("band", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("m") - 1)).alias("y"), "class", "bands", "low")
+    rows = hot.select("band", "class", "low", blocks.alias("m"), own.alias("own"))
+    left = rows.select("band", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("m") - 1)).alias("y"), "class", "low")
     # fresh names, as both sides come from the same rows
-    right = rows.select(F.col("band").alias("to_band"), F.explode(F.sequence(F.lit(0), "own")).alias("to_x"), F.col("own").alias("to_y"), F.col("class").alias("to"), F.col("bands").alias("to_bands"), F.col("low").alias("to_low"))
+    right = rows.select(F.col("band").alias("to_band"), F.explode(F.sequence(F.lit(0), "own")).alias("to_x"), F.col("own").alias("to_y"), F.col("class").alias("to"), F.col("low").alias("to_low"))
 
-    def of(pdf: pd.DataFrame, name: str, bands: str, low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(pdf: pd.DataFrame, name: str, low: str) -> tuple[np.ndarray, np.ndarray]:
         packed = np.frombuffer(b"".join(pdf[low]), np.uint8).reshape(len(pdf), -1)
-        cells = np.stack((packed >> 4, packed & 15), axis=2).reshape(len(pdf), -1)
-        return pdf[name].to_numpy(np.int64), np.stack(pdf[bands].to_numpy()), cells
+        return pdf[name].to_numpy(np.int64), np.stack((packed >> 4, packed & 15), axis=2).reshape(len(pdf), -1)
 
     def compare(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        (a, ka, la), (b, kb, lb) = of(p, "class", "bands", "low"), of(q, "to", "to_bands", "to_low")
-        at = int(np.argmax(ka[0] == key[0]))
-        new = np.ones((len(a), len(b)), bool)
-        for j in range(at):
-            new &= ka[:, j, None] != kb[None, :, j]
-        if key[1] == key[2]:
-            new &= a[:, None] < b[None, :]
+        (a, la), (b, lb) = of(p, "class", "low"), of(q, "to", "to_low")
+        new = a[:, None] < b[None, :] if key[1] == key[2] else np.ones((len(a), len(b)), bool)
         same = np.zeros((len(a), len(b)), np.uint8)
         for c in range(HASHES):
             same += la[:, c, None] == lb[None, :, c]
@@ -154,8 +150,8 @@ def candidates(s: DataFrame, threshold: float, few: int = 64) -> DataFrame:
     shared = staged(bands.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1"), "shared")
     small = shared.where(F.col("n") <= few)
     pairs = small.select("band", F.col("class").alias("a")).join(small.select("band", F.col("class").alias("b")), "band").where("a < b").select("a", "b").distinct()
-    one = s.groupBy("class").agg(F.min("low").alias("low"))  # equal in a class
-    both = pairs.join(one.select(F.col("class").alias("a"), F.col("low").alias("low_a")), "a").join(one.select(F.col("class").alias("b"), F.col("low").alias("low_b")), "b")
+    low = s.groupBy("class").agg(F.min("low").alias("low"))  # equal in a class
+    both = pairs.join(low.select(F.col("class").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("class").alias("b"), F.col("low").alias("low_b")), "b")
 
     def near(batches):
         for x in batches:
@@ -164,10 +160,8 @@ def candidates(s: DataFrame, threshold: float, few: int = 64) -> DataFrame:
                 yield x.filter(pa.array(estimate(la, lb) >= threshold - MARGIN)).select(["a", "b"])
 
     close = both.mapInArrow(near, "a bigint, b bigint")
-    hot = shared.where(F.col("n") > few)
-    wanted = hot.select("class").distinct()
-    signs = s.join(wanted, "class", "left_semi").dropDuplicates(["class"]).select("class", "bands", "low")
-    return close.unionByName(_compared(hot.join(signs, "class"), threshold)).distinct()
+    hot = shared.where(F.col("n") > few).join(low, "class")
+    return close.unionByName(_compared(hot, threshold)).distinct()
 
 
 def linked_classes(s: DataFrame, df: DataFrame, key: str, text: str, threshold: float, width: int) -> DataFrame:
@@ -178,7 +172,9 @@ def linked_classes(s: DataFrame, df: DataFrame, key: str, text: str, threshold:
     """
     close = staged(candidates(s, threshold), "close")
     wanted = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    heads = s.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(key).alias(key))
+    heads = staged(s.select("class", key).join(wanted, "class", "left_semi").groupBy("class").agg(F.min(key).alias(key)), "heads")
+    if heads.count() <= HEADS_BOUND:
+        heads = F.broadcast(heads)  # checked; beyond the bound the texts are shuffled to them
     texts = df.select(key, F.col(text).alias("t")).join(heads, key).dropDuplicates(["class"]).select("class", "t")
     side = max(1, int((close.count() / 4000) ** 0.5))
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
