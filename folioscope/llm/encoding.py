@@ -125,7 +125,7 @@ def _layered(text: str, codec: str) -> tuple[str, int, int]:
 
 
 WORDY = re.compile(r"[^\W\d_]")
-LOSSES = re.compile("�|\\?{2,}|(?<=[^\\W\\d_])\\?(?=[a-zß-ÿ])|(?:(?<=\\s)|^)\\?(?=[a-zß-ÿ]{2})")
+LOSSES = re.compile("\ufffd|(?<![^\\W\\d_])\\?{2,}|(?<=[^\\W\\d_])\\?{2,}(?=[^\\W\\d_]|\\s[a-zß-ÿ])|(?<=[^\\W\\d_])\\?(?=[a-zß-ÿ])|(?:(?<=\\s)|^)\\?(?=[a-zß-ÿ]{2})")
 #: What can be part of a wrongly read text at all; rows without it are clean (checked in the JVM).
 LEAD = "[Â-ô\u0080-\u009fĂ-ƒЀ-џҐґͰ-Ͽ∀-⋿─-▟†‡ˆ-˝‘-‡¬√]"
 SUSPECT = f"�|[?][?]|[a-zß-ÿ][?][a-zß-ÿ]|[\\s][?][a-zß-ÿ]{{2}}|[\u0080-\u009f]|{LEAD}[^\\x00-\\x7fऀ-෿一-鿿؀-ۿ]|[Ͱ-ϿЀ-ӿ∀-⋿─-▟]|[a-z][À-ÝŠŒŽŸƒˆ-˝†-‰™]"

@@ -22,7 +22,8 @@ from folioscope.llm.blocks import mapped
 STOPS = ".!?…।॥۔؟。！？．｡"
 CLOSERS = "\"”’»›)\\]}“」』】）"
 #: A stop with the closing marks and citation marks that belong to it.
-CANDIDATE = re.compile(rf"[{STOPS}]+(?:[*_]{{1,3}})?[{CLOSERS}]*(?:[ \t ]*\[S\d+\])*")
+CANDIDATE = re.compile(rf"[{STOPS}]+(?:[*_]{{1,3}})?[{CLOSERS.replace('“', '')}]*")
+CITED = re.compile(r"(?:[ \t\xa0]*\[S\d+\])*")
 LINES = re.compile("[^\r\n\x0b\x0c  ]+")
 #: Opening mark -> closing marks.
 QUOTES = {"“": "”", "”": "“”", '"': '"', "«": "»", "「": "」", "『": "』", "„": "“”"}
@@ -52,7 +53,7 @@ LATIN = [
     (N, WORDEND + r"(?i:dr|mr|mrs|ms|smt|shri|sri|km|m/s|messrs|prof|hon|hon'ble|adv|v|vs|i\.e|e\.g|viz|cf|art|arts|ex|exh|s|ss|sec|secs|r|rr|cl|cls|para|paras|p|pp|rs|sch|vol|ch|fig|app|reg)\.", r"\s*\S"),
     (N, WORDEND + r"(?i:no|nos)\.", r"\s*[\d(]"),
     (N, r"(?i:cent)\.", r"\s+(?i:per\b|[a-z])"),
-    (N, WORDEND + r"(?i:etc|ltd|inc|co|bros|sons|corp|pvt|govt|a\.m|p\.m|fr|st)\.", r"\s*(?:(?!e-[A-Z])[a-z&]|\([^\d(])"),
+    (N, WORDEND + r"(?i:etc|ltd|inc|co|bros|sons|corp|pvt|govt|a\.m|p\.m|fr|st)\.", r"\s*(?:(?!e-[A-Z])[a-zß-ÿ&]|\([^\d(])"),
     (N, r"(?<![\w.])(?:[A-Z]\.\s?){2,}", r"\s*[a-z\d(&]"),
     (N, r"(?<![\w.])(?:Dr|DR|Smt|SMT|M/s|Mr|Mrs|Shri)\.(?:\s?[A-Z]\.)+", r"\s*\S"),
     (N, r"(?<![\w.])[A-Z]\.", r"\s*[\w]"),
@@ -117,6 +118,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         hidden = _hidden(line)
         for m in CANDIDATE.finditer(line):
             end = m.end()
+            if line[end : end + 1] == "“" and any(b == end for _, b in hidden):
+                end += 1  # it closes here, as Urdu has it
+            end = CITED.match(line, end).end()
             if any(a <= end < b or a <= m.start() and end == b for a, b in hidden):
                 continue
             before, after = line[max(start, end - 60) : end], line[end : end + 40]
