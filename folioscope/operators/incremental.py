@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARTITIONS = 64
+#: Counts up when the rules of due_documents change, so that results made by older ones are made again.
+RULES = 1
 
 
 def partition_of(key: Column, partitions: int = PARTITIONS) -> Column:
@@ -123,7 +125,7 @@ def indexing_run(state: PartitionedState, manifest: DataFrame, documents: DataFr
     m_part, d_part = partition_of(F.col("url"), partitions), partition_of(F.col("source_url"), partitions)
     v = current_versions(parser_versions)
     salt = v.agg(F.coalesce(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "doc_type", "current"))), ",")), F.lit(""))).first()[0]  # one row a type
-    now = fingerprints([(m, m_part), (d, d_part)], partitions, f"{partitions}/{salt}")
+    now = fingerprints([(m, m_part), (d, d_part)], partitions, f"{RULES}/{partitions}/{salt}")
 
     def compute(parts: DataFrame) -> DataFrame:
         todo = F.broadcast(parts)  # at most one row a partition
