@@ -4,7 +4,8 @@ A document is a text; its sources are those that hold it, under whatever id. Doc
 one pattern. The total is the largest at which every source that has documents can reach its share within its repeats (or
 what is asked for, if less). Min-cost flow routes the tokens of the patterns to the sources' quotas, each further use of a
 pattern costing more. The documents of a pattern lie on a circle in seeded hash order; the flows are consecutive arcs on
-it, so each document is used as often as arcs begin at or pass its place, and uses differ by one at most.
+it, so each document is used as often as arcs begin at or pass its place, and uses differ by one at most. Last, what lies across
+the ends of the arcs is made up for by single uses of the documents of nearest size.
 
 Defined results: null, empty and blank-source documents have no part; repeated texts of a source count once; a source
 without documents gets nothing and is reported with share 0, the others keep their proportions.
@@ -87,7 +88,36 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     arcs = spark.createDataFrame(rows, "pattern array<string>, source string, w bigint, lo bigint, hi bigint")
     placed = running(texts.where("n_tokens > 0"), ["pattern"], seed, "text_key", "n_tokens", "at")
     uses = F.expr("(hi - at + w - 1) div w - (lo - at + w - 1) div w")  # whole turns; at < w, so both are at least 0
-    return placed.join(F.broadcast(arcs), "pattern").select("source", "doc_id", uses.alias("uses"), "n_tokens").where("uses > 0")  # patterns x sources
+    used = placed.join(F.broadcast(arcs), "pattern").select("source", "doc_id", uses.alias("uses"), "n_tokens").where("uses > 0")  # patterns x sources
+    quota: dict[str, float] = {}
+    for (_, s), f in flows.items():
+        quota[s] = quota.get(s, 0.0) + f
+    return levelled(used, texts, {s: (q, wanted[s][1]) for s, q in quota.items() if q > 0})
+
+
+def levelled(used: DataFrame, texts: DataFrame, quota: dict[str, tuple[float, int]], rounds: int = 3) -> DataFrame:
+    """Makes up for documents that lie across the ends of arcs: in each round each source gives up or takes on one use, of the
+    document whose size comes nearest to what it has too much or too little, if that helps."""
+    spark = used.sparkSession
+    if not quota:
+        return used
+    small = F.broadcast(spark.createDataFrame([(s, float(q), c) for s, (q, c) in sorted(quota.items())], "source string, quota double, cap int"))  # the targets
+    able = texts.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode("pattern").alias("source")).join(small, "source")
+    caps = able.groupBy("doc_id").agg(F.min("cap").alias("least"))
+    able = staged(able.join(caps, "doc_id"), "able")
+    for _ in range(rounds):
+        used = staged(used, "used")
+        gaps = small.join(used.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("got")), "source", "left").select("source", (F.col("quota") - F.coalesce("got", F.lit(0))).alias("gap"))
+        total = used.groupBy("doc_id").agg(F.sum("uses").alias("all_uses"))
+        d = able.join(F.broadcast(gaps), "source").join(used.select("source", "doc_id", "uses"), ["source", "doc_id"], "left").join(total, "doc_id", "left").na.fill(0, ["uses", "all_uses"])
+        step = F.when((F.col("gap") > 0) & (F.col("all_uses") < F.col("least")), 1).when((F.col("gap") < 0) & (F.col("uses") > 0), -1)
+        d = d.withColumn("step", step).where("step is not null and abs(gap - step * n_tokens) < abs(gap)")
+        pick = d.groupBy("source").agg(F.min_by(F.struct("doc_id", "n_tokens", "step"), F.struct(F.abs(F.col("gap") - F.col("step") * F.col("n_tokens")), "doc_id")).alias("p"))
+        # two sources may pick the same document of both: the first of them keeps it
+        pick = pick.groupBy("p.doc_id").agg(F.min(F.struct("source", "p.n_tokens", "p.step")).alias("q"))
+        more = pick.select("q.source", "doc_id", F.col("q.step").cast("bigint").alias("uses"), "q.n_tokens")
+        used = used.unionByName(more).groupBy("source", "doc_id").agg(F.sum("uses").alias("uses"), F.max("n_tokens").alias("n_tokens")).where("uses > 0")
+    return used
 
 
 def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import encoding, mixture, neardup, pieces, repeat, scans, sentences, splits, tokens
 from folioscope.session import staged, table
 
-#: The source a chunk came from, as part of its address.
-SOURCE = F.regexp_extract("source_url", "//[^/]+/([^/]+)/", 1)
+
+def _source() -> Column:
+    """The source a chunk came from, as part of its address."""
+    return F.regexp_extract("source_url", "//[^/]+/([^/]+)/", 1)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +63,7 @@ def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.repaired(table(spark, sf, "chunks"), "rowid", "text", SOURCE, F.lit("text"), lambda df: staged(df, "suspects"))
+    return encoding.repaired(table(spark, sf, "chunks"), "rowid", "text", _source(), F.lit("text"), lambda df: staged(df, "suspects"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
