@@ -38,11 +38,11 @@ def keep_first(df: DataFrame, keys: list[str], order: str, name: str) -> tuple[D
 def replaced(stored: DataFrame, new: DataFrame, key: str, identity: list[str], order: str) -> DataFrame:
     """The table after the documents of `new` took the place of their old rows; equal identities keep the first row."""
     fresh, _ = keep_first(new, identity, order, order)
-    return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return stored.join(new.select(key).distinct(), key, "left_anti").select(*stored.columns).unionByName(fresh, allowMissingColumns=True)
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    return stored.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    return stored.join(new.select(key), key, "left_anti").select(*stored.columns).unionByName(new, allowMissingColumns=True)
 
 
 def live(cache: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:
