@@ -26,7 +26,7 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     sample = table(spark, sf, "review_sample").distinct()
-    chunks = table(spark, sf, "chunks").select(F.lit("chunk").alias("record_kind"), F.col("rowid").alias("record_id"), "text").dropDuplicates(["record_id"])
+    chunks = table(spark, sf, "chunks").select(F.lit("chunk").alias("record_kind"), F.col("rowid").alias("record_id"), "text")  # rowid is unique
     answers = table(spark, sf, "phase1_acceptance").select(F.lit("answer").alias("record_kind"), F.col("result_id").alias("record_id"), F.col("answer_markdown").alias("text"))
     both = sample.where("record_kind = 'chunk'").join(chunks, ["record_kind", "record_id"]).unionByName(sample.where("record_kind = 'answer'").join(answers, ["record_kind", "record_id"]))
     return sentences.split(both, ["record_kind", "record_id"])
