@@ -177,7 +177,9 @@ def suspects(df: DataFrame, key: str, text: str, source: Column | str, field: Co
 def weights(found: DataFrame, totals: DataFrame, rounds: int = 20, pooled: float = 20.0) -> DataFrame:
     """(source, field, weight array<double>): shares of the chains by EM, drawn to the overall shares by `pooled` pseudo-records."""
     chains = len(CHAINS)
-    counts = found.groupBy("source", "field", "llr").agg(F.count("*").alias("n"))
+    # coarse evidence is enough for the shares, and keeps the kinds of records of a source few
+    coarse = F.transform("llr", lambda x: (F.round(x / 3) * 3).cast("float"))
+    counts = found.groupBy("source", "field", coarse.alias("llr")).agg(F.count("*").alias("n"))
     # each record's own best chain, over all sources, starts the shares
     top = F.expr("array_position(llr, array_max(llr)) - 1")
     overall = counts.groupBy(F.when(F.expr("array_max(slice(llr, 2, size(llr)))") > 2, top).otherwise(0).alias("chain")).agg(F.sum("n").alias("n"))
