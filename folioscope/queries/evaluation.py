@@ -184,6 +184,10 @@ SQL = {
     "fifo_evict": "SELECT user_id, count(*) AS n, min(event_id) AS first FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 20 GROUP BY 1",
     "json_props": "SELECT event_type, count(props) AS n, sum(length(props))::BIGINT AS chars, count(DISTINCT json_extract_string(props, '$.k')) AS keys FROM events GROUP BY 1",
     "repeat_stability": "SELECT question, count(*) AS runs, count(DISTINCT sha256(coalesce(answer_markdown, ''))) AS n_distinct FROM phase1_acceptance GROUP BY 1",
+    "verification_sheet": _SCORED
+    + """, fx AS (SELECT query_id, locator, trim(regexp_replace(coalesce(text, ''), '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS t FROM hits JOIN chunks c ON c."rowid" = chunk WHERE rank = 1),
+hx AS (SELECT *, left(t, 120) AS h FROM fx), kx AS (SELECT *, greatest(CASE WHEN contains(h, '.') THEN 121 - strpos(reverse(h), '.') ELSE 0 END, CASE WHEN contains(h, ';') THEN 121 - strpos(reverse(h), ';') ELSE 0 END, CASE WHEN contains(h, ':') THEN 121 - strpos(reverse(h), ':') ELSE 0 END) AS cut, CASE WHEN contains(h, ' ') THEN 120 - strpos(reverse(h), ' ') ELSE 120 END AS blank FROM hx)
+SELECT query_id, locator, CASE WHEN length(t) <= 120 THEN t ELSE left(h, CASE WHEN cut > 60 THEN cut ELSE blank END) || ' …' END AS excerpt FROM kx""",
     "stage_trace": _FINAL
     + """, ex AS (SELECT query_id, unnest(e) AS s FROM (SELECT id AS query_id, first(expected_sources) AS e FROM gold GROUP BY 1))
 SELECT ex.query_id, min(fused) AS fused, min(rerank) AS rerank, min(final) AS final FROM ex JOIN fin USING (query_id) JOIN chunks c ON c."rowid" = fin.chunk WHERE (ex.s.act = c.act_title AND ex.s.section = c.section) OR (ex.s.act IS NULL AND contains(coalesce(c.citation, ''), ex.s.neutral_citation)) GROUP BY 1""",

@@ -143,6 +143,7 @@ SELECT CASE WHEN w.chunk_id IS NULL THEN 'orphan' WHEN v.chunk_id IS NULL THEN '
 f AS (SELECT *, CASE WHEN regexp_matches(lag(line) OVER w, '[.:;—–\\-\\]]\\s*$|[.:;]”\\s*$') AND regexp_matches(line, '^(\\(\\w{1,6}\\)|\\[\\(\\w{1,6}\\)|Provided|Explanation|Illustrations?\\b|“|\\[“)') THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY chunk ORDER BY line_no)),
 p AS (SELECT *, sum(new) OVER (PARTITION BY chunk ORDER BY line_no)::BIGINT AS para FROM f)
 SELECT chunk, para, count(*) AS lines, min(line_no) AS first FROM p GROUP BY 1, 2""",
+    "cache_keys": "SELECT DISTINCT id, sha256('{\"q\":' || to_json(lower(trim(question)))::VARCHAR || ',\"index\":\"i1\",\"model\":\"m1\"}') AS key FROM gold",
     "successor_join": "SELECT s.id, s.short_title, t.short_title AS next_title FROM statutes s JOIN statutes t ON s.successor = t.id",
     "set_operations": "SELECT 'union' AS op, source FROM (SELECT source FROM documents WHERE lang = 'en' UNION SELECT source FROM documents WHERE lang = 'hi') UNION ALL SELECT 'intersect', source FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'hi') UNION ALL SELECT 'except', source FROM (SELECT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang = 'hi')",
 }

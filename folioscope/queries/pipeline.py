@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import citations, passages, registry
+from folioscope.operators import citations, exact, passages, registry
 from folioscope.plans import answer as plan
 from folioscope.plans.retrieve import retrieve
 from folioscope.queries.search import _chunks, _questions
@@ -14,9 +14,14 @@ from folioscope.session import scratch, table
 from folioscope.streaming import ledger as stream
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions of the stored results, which name laws and sections."""
+    return table(spark, sf, "phase1_acceptance").where("question is not null").select(F.col("result_id").cast("string").alias("query_id"), "question")
+
+
 def act_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    d = registry.with_mentions(_questions(spark, sf), "question", registry.names_of(table(spark, sf, "statutes")))
-    return d.select("query_id", F.posexplode("mentions").alias("seq", "m")).select("query_id", "seq", "m.names", "m.start", "m.end")
+    d = registry.with_mentions(_asked(spark, sf), "question", registry.names_of(table(spark, sf, "statutes")))
+    return d.select("query_id", F.explode("mentions").alias("m")).select("query_id", "m.names", F.col("m.start").cast("bigint").alias("start"), F.col("m.end").cast("bigint").alias("end"))
 
 
 def classify_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,12 +30,22 @@ def classify_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def section_refs(spark: SparkSession, sf: str) -> DataFrame:
-    d = registry.with_mentions(_questions(spark, sf), "question", registry.names_of(table(spark, sf, "statutes")))
+    return _refs(spark, sf).select("query_id", F.col("seq").cast("bigint").alias("seq"), "act", "section", "sub")
+
+
+def _refs(spark: SparkSession, sf: str) -> DataFrame:
+    d = registry.with_mentions(_asked(spark, sf), "question", registry.names_of(table(spark, sf, "statutes")))
     return registry.section_refs(d, "query_id", "question")
 
 
+def section_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    none = _asked(spark, sf).select("query_id", F.lit(None).cast("string").alias("only"))
+    pins, _ = exact.section_lookup(_refs(spark, sf), none, table(spark, sf, "statutes"), _chunks(spark, sf), F.lit(True))
+    return pins.select("query_id", "chunk", F.col("pin").cast("bigint").alias("pin"))
+
+
 def _full(spark: SparkSession, sf: str):
-    return retrieve(_questions(spark, sf), _chunks(spark, sf), table(spark, sf, "statutes"), "full")
+    return retrieve(_asked(spark, sf), _chunks(spark, sf), table(spark, sf, "statutes"), "full")
 
 
 def retrieve_full(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +160,7 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (act_mentions, classify_questions, section_refs, retrieve_full, retrieve_gate, lookup_notes, answer_context, answers, citation_cards, checked_answers, unsupported_share, quote_verbatim, pack_passages, upload_passages, upload_selection, stream_ledger, stream_windows)
+    for f in (act_mentions, classify_questions, section_refs, section_lookup, retrieve_full, retrieve_gate, lookup_notes, answer_context, answers, citation_cards, checked_answers, unsupported_share, quote_verbatim, pack_passages, upload_passages, upload_selection, stream_ledger, stream_windows)
 }
 
 
@@ -161,7 +176,13 @@ def _classify() -> str:
     )
 
 
+_MENTIONS = """WITH q AS (SELECT result_id::VARCHAR AS query_id, question FROM phase1_acceptance WHERE question IS NOT NULL),
+m AS (SELECT query_id, question, id AS names, strpos(lower(question), lower(title)) - 1 AS start, length(title) AS n FROM q JOIN statutes ON contains(lower(question), lower(title))) """
+_REFS = _MENTIONS + """, r AS (SELECT query_id, unnest(regexp_extract_all(question, '(?i)(?:\\b(?:section|sec\\.?|s\\.|u/s\\.?|ss\\.)\\s*|धारा\\s*)(\\d{1,3}[A-Z]{0,2})', 1)) AS section FROM q), f AS (SELECT query_id, 0::BIGINT AS seq, names AS act, upper(section) AS section, NULL::VARCHAR AS sub FROM r LEFT JOIN m USING (query_id)) """
 SQL = {
+    "act_mentions": _MENTIONS + "SELECT query_id, names, start, start + n AS \"end\" FROM m",
+    "section_refs": _REFS + "SELECT * FROM f",
+    "section_lookup": _REFS + "SELECT query_id, c.\"rowid\" AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY c.\"rowid\") AS pin FROM f JOIN statutes s ON s.id = f.act JOIN chunks c ON c.act_title = s.short_title AND c.section = f.section AND c.doc_type = 'statute'",
     "classify_questions": _classify(),
     "unsupported_share": "SELECT result_id, count(*) AS n, count(*) FILTER (NOT regexp_matches(line, '\\[S\\d+\\]')) AS bare FROM (SELECT result_id, unnest(regexp_split_to_array(answer_markdown, '\\n+')) AS line FROM phase1_acceptance WHERE answer_markdown IS NOT NULL) WHERE len(regexp_extract_all(line, '\\w+')) >= 5 GROUP BY 1",
     "quote_verbatim": """WITH c AS (SELECT doc_id, "rowid" AS chunk, lower(trim(regexp_replace(translate(text, '“”‘’', '""'''''), '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS t FROM chunks WHERE text IS NOT NULL),
