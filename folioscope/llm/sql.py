@@ -12,6 +12,19 @@ c AS (SELECT a.rowid AS rowid_a, b.rowid AS rowid_b, count(*) AS c FROM s a JOIN
 SELECT rowid_a, rowid_b FROM c JOIN n a ON a.rowid = rowid_a JOIN n b ON b.rowid = rowid_b WHERE c >= 0.6 * (a.n + b.n - c) - 1e-9
 """
 
+P2_GROUPS = """
+WITH RECURSIVE t AS (SELECT DISTINCT rowid, list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM (SELECT "rowid", text FROM chunks) WHERE text IS NOT NULL),
+c AS (SELECT rowid, w, min(rowid) OVER (PARTITION BY w) AS class_id, count(*) OVER (PARTITION BY w) AS copies FROM t WHERE len(w) >= 5),
+s AS (SELECT DISTINCT rowid AS k, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i : i + 4])) AS g FROM c WHERE rowid = class_id),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+j AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM j JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS root, a AS k FROM e UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.k),
+g AS (SELECT k, min(root) AS group_id FROM r GROUP BY 1), d AS (SELECT a AS k, count(*) AS links FROM e GROUP BY 1)
+SELECT c.rowid, class_id, coalesce(group_id, class_id) AS group_id, copies, coalesce(links, 0) AS links FROM c LEFT JOIN g ON g.k = class_id LEFT JOIN d ON d.k = class_id
+"""
+
 P4 = "SELECT DISTINCT \"rowid\" FROM chunks WHERE len(regexp_extract_all(text, '[一-鿿]|[^ \\t\\r\\n一-鿿]+')) > 450"
 
 P6 = """
@@ -41,6 +54,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_repeated, CASE WHEN len(w)
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": P2,
+        "p2_groups": P2_GROUPS,
         "p4_found": P4,
         "p6_found": P6,
         "p8_roundtrip": P8_ROUNDTRIP,
