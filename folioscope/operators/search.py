@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.session import spread
 
 K1, B = 1.2, 0.75
 #: Rows up to which the terms of a batch of questions are broadcast.
 TERMS_BOUND = 500_000
+#: Phrases up to which each text is simply searched for all of them.
+PHRASES = 200
 
 
 def small(df: DataFrame, bound: int) -> DataFrame:
@@ -50,9 +53,18 @@ def collection(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str = "text", k: int | None = 10, where: Column | None = None, query: str = "query_id", question: str = "question") -> DataFrame:
     """(query, key, rank, score): texts by BM25; a filter `where` over docs keeps the statistics of the whole collection.
 
-    Ties by key. Texts without a term of the question don't come out; with k None all that have one do.
+    Ties by key. Texts without a term of the question don't come out; with k None all that have one do. The texts stay where
+    they are: each task scores its own against all questions and passes on the k best of each question. Only a batch with
+    more than TERMS_BOUND terms is joined to the postings instead, as is one that wants all hits.
     """
     q = terms_of(queries, query, question)
+    if k is None or q.limit(TERMS_BOUND + 1).count() > TERMS_BOUND:
+        scored = _joined(q, docs, key, text, where, query)
+        return scored if k is None else top(scored, query, key, k)
+    return top(_scored(q, docs, key, text, k, where, query), query, key, k)
+
+
+def _joined(q: DataFrame, docs: DataFrame, key: str, text: str, where: Column | None, query: str) -> DataFrame:
     p = postings(docs, key, text, q)
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     stats = collection(docs, key, text)
@@ -61,8 +73,73 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str = "text", k: i
     weights = q.join(small(df.crossJoin(stats), TERMS_BOUND), "term")  # one row of statistics
     if where is not None:
         p = p.join(docs.where(where).select(key), key, "left_semi")
-    scored = p.join(weights, "term").groupBy(query, key).agg(F.round(F.sum(weight), 6).alias("score"))
-    return scored if k is None else top(scored, query, key, k)
+    return p.join(weights, "term").groupBy(query, key).agg(F.round(F.sum(weight), 6).alias("score"))
+
+
+def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: Column | None, query: str) -> DataFrame:
+    """(query, key, score): of each batch of texts the k best of each question.
+
+    Terms go to numpy as 64-bit hashes; those of the questions are checked to be different from each other.
+    """
+    terms = q.select("term").distinct().select("term", F.xxhash64("term").alias("h"))
+    hashed = spread(docs.select(text)).select(F.transform(tx.tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)).alias("t"))
+    counts = hashed.select(F.explode(F.array_distinct("t")).alias("h")).join(small(terms.select("h"), TERMS_BOUND), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
+    n, avg = hashed.agg(F.count("*"), F.avg(F.size("t"))).first()
+    rows = terms.join(counts, "h", "left").orderBy("h").collect()  # at most TERMS_BOUND
+    hashes = np.array([r["h"] for r in rows], np.int64)
+    if len(np.unique(hashes)) != len(hashes):
+        return _joined(q, docs, key, text, where, query)
+    df = np.array([r["df"] or 0 for r in rows], float)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    at = {r["term"]: i for i, r in enumerate(rows)}
+    asked: dict = {}
+    for r in q.collect():  # at most TERMS_BOUND
+        asked.setdefault(r[0], []).append(at[r[1]])
+    names = sorted(asked)
+    lists = [np.array(sorted(asked[x]), np.int64) for x in names]
+    shared = docs.sparkSession.sparkContext.broadcast((hashes, idf, names, lists, float(avg or 1.0)))
+    q_type, k_type = q.schema[query].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, idf, names, lists, avg = shared.value
+        kind = pa.array(names[:1]).type if names else pa.string()
+        for b in batches:
+            tokens = b.column(1)
+            ends = tokens.offsets.to_numpy()
+            length = np.diff(ends)
+            ids = tokens.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+            if not len(hashes) or not len(ids):
+                continue
+            doc = np.repeat(np.arange(len(length)), length)
+            place = np.minimum(np.searchsorted(hashes, ids), len(hashes) - 1)
+            hit = hashes[place] == ids
+            cell, tf = np.unique(place[hit] * len(length) + doc[hit], return_counts=True)
+            term, doc = cell // len(length), cell % len(length)
+            weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / avg))
+            first = np.searchsorted(term, np.arange(len(hashes) + 1))
+            keys, total = b.column(0), np.zeros(len(length))
+            out_q, out_d, out_s = [], [], []
+            for i, ts in enumerate(lists):
+                total[:] = 0
+                for t in ts:
+                    s = slice(first[t], first[t + 1])
+                    total[doc[s]] += weight[s]
+                d = np.nonzero(total)[0]
+                if not len(d):
+                    continue
+                s = np.round(total[d], 6)
+                if len(d) > k:
+                    keep = s >= np.partition(s, -k)[-k]  # with all ties of the last place
+                    d, s = d[keep], s[keep]
+                out_q.append(np.full(len(d), i))
+                out_d.append(d)
+                out_s.append(s)
+            if out_q:
+                yield pa.RecordBatch.from_arrays([pa.array(names, kind).take(pa.array(np.concatenate(out_q))), keys.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], [query, key, "score"])
+
+    made = spread((docs if where is None else docs.where(where)).select(key, text))
+    ready = made.select(key, F.transform(tx.tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)).alias("t"))
+    return ready.mapInArrow(score, f"`{query}` {q_type}, `{key}` {k_type}, score double")
 
 
 def top(scored: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -75,7 +152,12 @@ def phrases(docs: DataFrame, names: DataFrame, key: str, name: str, text: str =
     """(name, key): texts that hold the tokens of the phrase one after the other, stop words too."""
     flat = F.concat(F.lit(" "), F.array_join(tx.tokens(text), " "), F.lit(" "))
     p = names.select(name, F.concat(F.lit(" "), F.array_join(tx.tokens(name), " "), F.lit(" ")).alias("_p")).where("trim(_p) != ''").distinct()
-    # a phrase is looked for only in texts that hold its rarest-looking (longest) token
+    few = p.limit(PHRASES + 1).collect()
+    if len(few) <= PHRASES:
+        held = F.array(*[F.struct(F.lit(r[name]).alias("name"), F.lit(r["_p"]).alias("p")) for r in few]) if few else F.array().cast("array<struct<name:string,p:string>>")
+        d = docs.where(F.col(text).isNotNull()).select(key, flat.alias("_t"))
+        return d.select(F.explode(F.filter(held, lambda x: F.contains(F.col("_t"), x["p"]))).alias("_x"), key).select(F.col("_x.name").alias(name), key)
+    # a phrase is looked for only in texts that hold its longest token
     p = p.withColumn("term", F.element_at(F.sort_array(F.transform(F.split(F.trim("_p"), " "), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"])
     d = docs.where(F.col(text).isNotNull()).select(key, flat.alias("_t"), F.explode(F.array_distinct(tx.tokens(text))).alias("term"))
     return d.join(small(p, TERMS_BOUND), "term").where(F.col("_t").contains(F.col("_p"))).select(name, key)

@@ -29,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table in at least as many partitions as there are cores, for work that Python does row by row.
+
+    A file of one row group is one task however large; tables of many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    said = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in said for x in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Generate")):
+        return df  # not a stored table: counting its partitions would run it
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, which is set here only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -71,7 +71,17 @@ def test_as_of_takes_the_last_before(spark):
     assert {r.id: r.matched for r in sel.as_of(left, right, "k", "t", "id").collect()} == {10: None, 11: 22, 12: None}
 
 
-def test_phrases_keep_stop_words(spark):
+def test_phrases_keep_stop_words(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "Under the Transfer of Property Act, 1882 it"), (2, "transfer property act 1882"), (3, None)], "chunk bigint, text string")
     names = spark.createDataFrame([("Transfer of Property Act, 1882",)], "name string")
     assert [r.chunk for r in search.phrases(docs, names, "chunk", "name").collect()] == [1]
+    monkeypatch.setattr(search, "PHRASES", 0)
+    assert [r.chunk for r in search.phrases(docs, names, "chunk", "name").collect()] == [1]
+
+
+def test_large_batches_are_joined_to_the_postings(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} w1") for i in range(50)], "chunk bigint, text string")
+    qs = spark.createDataFrame([("a", "w1 w2"), ("b", "w5"), ("c", "none")], "query_id string, question string")
+    want = sorted(map(tuple, search.bm25(qs, docs, "chunk", k=4, where=F.col("chunk") > 9).collect()))
+    monkeypatch.setattr(search, "TERMS_BOUND", 1)
+    assert sorted(map(tuple, search.bm25(qs, docs, "chunk", k=4, where=F.col("chunk") > 9).select("query_id", "chunk", "score", "rank").collect())) == sorted(map(tuple, search.bm25(qs, docs, "chunk", k=4, where=F.col("chunk") > 9).select("query_id", "chunk", "score", "rank").collect())) == want
