@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import encoding, mixture, neardup, pieces, repeat, scans, sentences, splits, tokens
-from folioscope.session import staged, table
+from folioscope.session import spread, staged, table
 
 
 def _source() -> Column:
@@ -17,11 +17,11 @@ def _source() -> Column:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.pairs(table(spark, sf, "chunks"), "rowid")
+    return neardup.pairs(spread(table(spark, sf, "chunks")), "rowid")
 
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.groups(table(spark, sf, "chunks"), "rowid")
+    return neardup.groups(spread(table(spark, sf, "chunks")), "rowid")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,19 +39,19 @@ def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return pieces.cut_texts(table(spark, sf, "chunks"), ["rowid", "locator", "section"])
+    return pieces.cut_texts(spread(table(spark, sf, "chunks")), ["rowid", "locator", "section"])
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pieces.cut_texts(table(spark, sf, "chunks"), ["rowid"]).where("piece = 1").select("rowid").distinct()
+    return pieces.cut_texts(spread(table(spark, sf, "chunks")), ["rowid"]).where("piece = 1").select("rowid").distinct()
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return scans.defects(table(spark, sf, "chunks"), table(spark, sf, "page_info"))
+    return scans.defects(spread(table(spark, sf, "chunks")), table(spark, sf, "page_info"))
 
 
 def p5_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return scans.repaired(table(spark, sf, "chunks"), table(spark, sf, "page_info"))
+    return scans.repaired(spread(table(spark, sf, "chunks")), table(spark, sf, "page_info"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +63,7 @@ def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.repaired(table(spark, sf, "chunks"), "rowid", "text", _source(), F.lit("text"), lambda df: staged(df, "suspects"))
+    return encoding.repaired(spread(table(spark, sf, "chunks")), "rowid", "text", _source(), F.lit("text"), lambda df: staged(df, "suspects"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +75,7 @@ def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.with_ids(table(spark, sf, "documents"), "doc_id")
+    return tokens.with_ids(spread(table(spark, sf, "documents")), "doc_id")
 
 
 def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +83,7 @@ def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    return mixture.mixture(spread(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,15 +91,15 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return repeat.repetitive(table(spark, sf, "documents"), "doc_id").select("doc_id")
+    return repeat.repetitive(spread(table(spark, sf, "documents")), "doc_id").select("doc_id")
 
 
 def p10_repetition(spark: SparkSession, sf: str) -> DataFrame:
-    return repeat.repetition(table(spark, sf, "documents"), "doc_id")
+    return repeat.repetition(spread(table(spark, sf, "documents")), "doc_id")
 
 
 def p10_likelihood(spark: SparkSession, sf: str) -> DataFrame:
-    return repeat.likelihood(table(spark, sf, "documents"), "doc_id")
+    return repeat.likelihood(spread(table(spark, sf, "documents")), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
