@@ -65,7 +65,7 @@ class PartitionedState:
     def run(self, now: DataFrame, schema: T.StructType, compute: Callable[[DataFrame], DataFrame]) -> list[int]:
         """Brings the state up to the fingerprints `now`; compute gets (part) of the partitions to make. Returns these."""
         old = self.read(schema).where("marker").select("part", F.col("fingerprint").alias("old"))
-        both = now.join(old, "part", "full_outer").where(~F.col("fingerprint").eqNullSafe(F.col("old")))
+        both = now.join(old, "part", "full_outer").where(F.coalesce("fingerprint", F.lit("")) != F.coalesce("old", F.lit("")))
         todo = both.select("part", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
         parts = sorted((r["part"], r["fingerprint"]) for r in todo.collect())  # at most one row a partition
         if not parts:
