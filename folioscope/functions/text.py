@@ -186,3 +186,31 @@ def blank(c: Column | str) -> Column:
 
 def placeholder(c: Column | str) -> Column:
     return F.coalesce(F.lower(F.trim(col(c))).isin(PLACEHOLDERS), F.lit(False))
+
+
+def tidy_label(c: Column | str) -> Column:
+    """PART I — OF DEEDS as PART I — Of Deeds; null stays null."""
+    head, title = F.split_part(col(c), F.lit(" — "), F.lit(1)), F.split_part(col(c), F.lit(" — "), F.lit(2))
+    return F.when(title == "", head).otherwise(F.concat(head, F.lit(" — "), nice_title(title)))
+
+
+def case_title(title: Column | str, respondent: Column | str) -> Column:
+    """A title without its empty second party."""
+    bare = F.trim(F.regexp_replace(col(title), r"(?i)\s+(?:versus|vs\.?|v\.)\s+[^A-Za-z]*$", ""))
+    return F.when(F.coalesce(col(respondent), F.lit("")).rlike("[A-Za-z]"), col(title)).otherwise(bare)
+
+
+def coram(html: Column | str) -> Column:
+    """Judges and author of a listing card, as struct<judges, author>; the author is the name before its mark."""
+    part = F.regexp_extract(col(html), r"(?is)Coram\s*:\s*(.*?)</strong>", 1)
+    author = F.regexp_extract(part, r'([^,>]+?)\s*<sup[^>]*data-tooltip="Author"', 1)
+    names = F.split(html_text(F.regexp_replace(part, r"(?s)<sup.*?</sup>", "")), ",")
+    judges = F.filter(F.transform(names, lambda x: F.trim(x, F.lit(" *"))), lambda x: x != "")
+    return F.struct(F.coalesce(judges, F.array().cast("array<string>")).alias("judges"), F.nullif(F.trim(html_text(author), F.lit(" ,")), F.lit("")).alias("author"))
+
+
+def case_header(title: Column, court: Column, decided: Column, judges: Column, author: Column, cites: Column, disposal: Column, cnr: Column) -> Column:
+    """The header of a judgment, line by line; what is missing has no line."""
+    bench = F.when(F.size(judges) > 0, F.concat(F.lit("Bench: "), F.array_join(judges, ", "), F.coalesce(F.concat(F.lit(" (author: "), F.nullif(author, F.lit("")), F.lit(")")), F.lit(""))))
+    said = lambda name, c: F.concat(F.lit(f"{name}: "), F.nullif(c, F.lit("")))
+    return F.concat_ws("\n", title, F.concat(court, F.lit(" — decided "), decided), bench, said("Citation", cites), said("Disposal", disposal), said("CNR", cnr))

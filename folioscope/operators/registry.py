@@ -181,3 +181,24 @@ def classified(questions: DataFrame, names: Names, key: str = "query_id", text:
         F.array_distinct(F.flatten(F.transform("mentions", lambda m: m["expands"]))).alias("search_acts"),
         order_rules(F.col(text)).alias("rules"), event_years(F.col(text), F.col("mentions")).alias("years"),
     )
+
+
+def pattern_of(term: str) -> str:
+    """A term as a pattern: Latin words at word borders with blanks or hyphens between them, others as they are."""
+    if re.search("[A-Za-z]", term):
+        return r"(?i)\b" + r"[\s-]+".join(re.escape(w) for w in term.split()) + r"\b"
+    return re.escape(term)
+
+
+def matched(text: Column, entries: list[tuple[str, list[str]]]) -> Column:
+    """Values of the entries (value, terms) one of whose terms the text holds, in the order of the entries, each once.
+
+    For registers of fixed size: states and their codes, lay terms and their legal wording.
+    """
+    hits = [F.when(text.rlike("|".join(f"(?:{pattern_of(t)})" for t in terms)), F.lit(value)) for value, terms in entries if terms]
+    return F.array_distinct(F.array_compact(F.array(*hits))) if hits else F.array().cast("array<string>")
+
+
+def rewritten(question: Column, phrases: Column) -> Column:
+    """q (phrase; phrase), or q alone."""
+    return F.when(F.size(phrases) > 0, F.concat(question, F.lit(" ("), F.array_join(phrases, "; "), F.lit(")"))).otherwise(question)

@@ -5,6 +5,7 @@ Every input and output is a long table with a query id, so one question or ten t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,14 +51,21 @@ def collection(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return lengths(docs, key, text).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str = "text", k: int | None = 10, where: Column | None = None, query: str = "query_id", question: str = "question") -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str = "text", k: int | None = 10, where: Column | None = None, query: str = "query_id", question: str = "question", phrases: DataFrame | None = None) -> DataFrame:
     """(query, key, rank, score): texts by BM25; a filter `where` over docs keeps the statistics of the whole collection.
 
     Ties by key. Texts without a term of the question don't come out; with k None all that have one do. The texts stay where
     they are: each task scores its own against all questions and passes on the k best of each question. Only a batch with
     more than TERMS_BOUND terms is joined to the postings instead, as is one that wants all hits.
+
+    phrases: (query, phrase), up to PHRASES different ones, counted like terms where their tokens stand one after the other.
     """
     q = terms_of(queries, query, question)
+    said = [] if phrases is None else sorted({(r[0], r[1]) for r in phrases.select(query, F.array_join(tx.tokens("phrase"), " ")).distinct().limit(TERMS_BOUND).collect() if r[1]})
+    if said:
+        if len({p for _, p in said}) > PHRASES or k is None:
+            raise ValueError("phrases are for ranked batches with few different ones")
+        return top(_scored(q, docs, key, text, k, where, query, said), query, key, k)
     if k is None or q.limit(TERMS_BOUND + 1).count() > TERMS_BOUND:
         scored = _joined(q, docs, key, text, where, query)
         return scored if k is None else top(scored, query, key, k)
@@ -76,7 +84,7 @@ def _joined(q: DataFrame, docs: DataFrame, key: str, text: str, where: Column |
     return p.join(weights, "term").groupBy(query, key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
-def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: Column | None, query: str) -> DataFrame:
+def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: Column | None, query: str, said: list[tuple] = ()) -> DataFrame:
     """(query, key, score): of each batch of texts the k best of each question.
 
     Terms go to numpy as 64-bit hashes; those of the questions are checked to be different from each other.
@@ -95,6 +103,17 @@ def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: C
     asked: dict = {}
     for r in q.collect():  # at most TERMS_BOUND
         asked.setdefault(r[0], []).append(at[r[1]])
+    # phrases are terms behind the others
+    wording = sorted({p for _, p in said})
+    flat = F.concat(F.lit(" "), F.array_join(tx.tokens(F.coalesce(F.col(text), F.lit(""))), " "), F.lit(" "))
+    held = F.array(*[F.regexp_count(flat, F.lit(f"(?<= ){re.escape(p)}(?= )")) for p in wording]) if wording else F.array().cast("array<int>")
+    if wording:
+        found = spread(docs.select(text)).select(F.posexplode(held).alias("p", "c")).where("c > 0").groupBy("p").agg(F.count("*").alias("df")).collect()  # at most PHRASES
+        of = {r["p"]: r["df"] for r in found}
+        also = np.array([of.get(i, 0) for i in range(len(wording))], float)
+        idf = np.concatenate((idf, np.log(1 + (n - also + 0.5) / (also + 0.5))))
+        for x, p in said:
+            asked.setdefault(x, []).append(len(hashes) + wording.index(p))
     names = sorted(asked)
     lists = [np.array(sorted(asked[x]), np.int64) for x in names]
     shared = docs.sparkSession.sparkContext.broadcast((hashes, idf, names, lists, float(avg or 1.0)))
@@ -108,15 +127,19 @@ def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: C
             ends = tokens.offsets.to_numpy()
             length = np.diff(ends)
             ids = tokens.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
-            if not len(hashes) or not len(ids):
+            if not len(idf) or not len(ids):
                 continue
             doc = np.repeat(np.arange(len(length)), length)
-            place = np.minimum(np.searchsorted(hashes, ids), len(hashes) - 1)
-            hit = hashes[place] == ids
+            place = np.minimum(np.searchsorted(hashes, ids), max(len(hashes) - 1, 0))
+            hit = hashes[place] == ids if len(hashes) else np.zeros(len(ids), bool)
             cell, tf = np.unique(place[hit] * len(length) + doc[hit], return_counts=True)
+            if len(idf) > len(hashes):
+                c = b.column(2).flatten().to_numpy().reshape(len(length), -1).T
+                p, d = np.nonzero(c)
+                cell, tf = np.concatenate((cell, (len(hashes) + p) * len(length) + d)), np.concatenate((tf, c[p, d]))
             term, doc = cell // len(length), cell % len(length)
             weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / avg))
-            first = np.searchsorted(term, np.arange(len(hashes) + 1))
+            first = np.searchsorted(term, np.arange(len(idf) + 1))
             keys, total = b.column(0), np.zeros(len(length))
             out_q, out_d, out_s = [], [], []
             for i, ts in enumerate(lists):
@@ -138,7 +161,7 @@ def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: C
                 yield pa.RecordBatch.from_arrays([pa.array(names, kind).take(pa.array(np.concatenate(out_q))), keys.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], [query, key, "score"])
 
     made = spread((docs if where is None else docs.where(where)).select(key, text))
-    ready = made.select(key, F.transform(tx.tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)).alias("t"))
+    ready = made.select(key, F.transform(tx.tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)).alias("t"), held.alias("p"))
     return ready.mapInArrow(score, f"`{query}` {q_type}, `{key}` {k_type}, score double")
 
 

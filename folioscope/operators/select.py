@@ -62,3 +62,24 @@ def by_quota(candidates: DataFrame, patterns: list[tuple[str, Column]], limit: i
             break
     kind = candidates.schema[key].dataType.simpleString()
     return candidates.sparkSession.createDataFrame([(k, g, i + 1) for i, (k, g) in enumerate(seen.items())], f"`{key}` {kind}, `group` string, slot int")
+
+
+def judgments(metadata: DataFrame, acts: list[tuple[str, str]], limit: int, min_year: int, landmarks: list[tuple[int, list[str]]] = ()) -> DataFrame:
+    """The metadata of the chosen judgments, with `group` (the law or landmark they were chosen for), `slot` and `matched_acts`.
+
+    Of those available in English with a readable date from `min_year` on: the newest by law, up to an equal quota each, then
+    by turns. Landmarks (year, words of the title) come on top of the limit. Equal dates: by path. acts: (id, pattern).
+    """
+    from folioscope.functions.text import day_first_date, html_text
+
+    d = metadata.withColumn("_date", day_first_date("decision_date")).withColumn("_text", html_text(F.coalesce("raw_html", F.lit(""))))
+    d = d.where(F.coalesce("available_languages", F.lit("")).contains("ENG") & (F.year("_date") >= min_year))
+    d = d.withColumn("matched_acts", F.array_compact(F.array(*[F.when(F.col("_text").rlike(p), F.lit(a)) for a, p in acts])))
+    chosen = by_quota(d, [(a, F.array_contains("matched_acts", a)) for a, _ in acts], limit, "path", [F.desc("_date")])
+    for n, (year, words) in enumerate(landmarks):
+        has = d.where(F.year("_date") == year)
+        for w in words:
+            has = has.where(F.contains(F.upper("title"), F.lit(w)))
+        more = has.join(chosen, "path", "left_anti").select("path", F.lit("landmark").alias("group"), F.lit(limit + n + 1).alias("slot"))
+        chosen = chosen.unionByName(more)
+    return d.join(F.broadcast(chosen), "path").drop("_text", "_date")  # the limit and the landmarks

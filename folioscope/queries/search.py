@@ -144,9 +144,25 @@ def dominant_script(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("dominant").agg(F.count("*").alias("n"), F.count(F.when(F.col("script") == F.col("dominant"), 1)).alias("n_agree"))
 
 
+def nfc_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    from folioscope.functions import unicode
+
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", F.length(unicode.nfc("text")).cast("bigint").alias("n"), F.sha1(unicode.nfc("title")).alias("title_sha"))
+
+
+def keyword_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions of the stored results with the titles of the laws they name as phrases: the five best chunks."""
+    q = table(spark, sf, "phase1_acceptance").where("question is not null").select(F.col("result_id").alias("query_id"), "question")
+    t = table(spark, sf, "statutes").select("short_title").where("short_title is not null")
+    p = q.join(t, F.contains("question", "short_title")).select("query_id", F.col("short_title").alias("phrase"))  # a register of fixed size
+    hits = search.bm25(q, _chunks(spark, sf), "chunk", k=5, phrases=p)
+    return hits.select("query_id", "chunk", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, keyword_filtered_quota, phrase_search, query_expression, dense_topk, dense_filtered_overfetch, dense_subset_rank, l2_normalised, rrf_fusion, rrf_pinned, two_voter_order, evidence_gate, statute_slots, context_budget, context_order, script_share, dominant_script)
+    for f in (bm25_topk, keyword_filtered_quota, phrase_search, query_expression, dense_topk, dense_filtered_overfetch, dense_subset_rank, l2_normalised, rrf_fusion, rrf_pinned, two_voter_order, evidence_gate, statute_slots, context_budget, context_order, script_share, dominant_script, nfc_lengths, keyword_phrases)
 }
 
 _TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
@@ -190,6 +206,16 @@ WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_inner_prod
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 """
 SQL = {
+    "nfc_lengths": "SELECT doc_id, length(nfc_normalize(text)) AS n, sha1(nfc_normalize(title)) AS title_sha FROM documents WHERE text IS NOT NULL",
+    "keyword_phrases": _SCORED.replace("SELECT id AS query_id, min(question) AS question FROM gold GROUP BY 1", "SELECT result_id AS query_id, question FROM phase1_acceptance WHERE question IS NOT NULL").split("scored AS (")[0]
+    + f"""ph AS (SELECT query_id, array_to_string({_TOKENS.format('short_title')}, ' ') AS p FROM g JOIN statutes ON contains(question, short_title)),
+df2 AS (SELECT chunk, len(t) AS len, ' ' || array_to_string(t, '  ') || ' ' AS flat FROM d),
+pc AS (SELECT p, chunk, len, len(string_split(flat, ' ' || replace(p, ' ', '  ') || ' ')) - 1 AS tf FROM df2, (SELECT DISTINCT p FROM ph) WHERE contains(flat, ' ' || replace(p, ' ', '  ') || ' ')),
+pd AS (SELECT p, count(*) AS df FROM pc GROUP BY 1),
+w AS (SELECT query_id, chunk, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS x FROM q JOIN p USING (term) JOIN f USING (term), s
+UNION ALL SELECT query_id, chunk, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) FROM (SELECT DISTINCT * FROM ph) JOIN pc USING (p) JOIN pd USING (p), s),
+z AS (SELECT query_id, chunk, round(sum(x), 6) AS score FROM w GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank, score FROM z) WHERE rank <= 5""",
     "bm25_topk": _SCORED + "SELECT query_id, chunk, rank, score FROM hits WHERE rank <= 10",
     "keyword_filtered_quota": _SCORED
     + """, h AS (SELECT * FROM (SELECT s.*, doc_type, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS r FROM scored s JOIN d USING (chunk) WHERE jurisdiction IN ('XU-LM', 'XU-TW')) WHERE r <= 50)

@@ -1,6 +1,6 @@
 import pytest
 
-from folioscope.operators import registry
+from folioscope.operators import registry, search
 from folioscope.plans import answer
 from folioscope.plans.retrieve import MODES, retrieve
 
@@ -54,6 +54,10 @@ def test_all_modes_rank(spark, corpus, mode):
     r = retrieve(q, c, s, mode, query_vectors=qv, chunk_vectors=cv)
     d = r.candidates.groupBy("query_id").agg(F.count("*").alias("n"), F.max("final").alias("m")).collect()
     assert d and all(x.n == x.m for x in d)
+    if mode in ("dense", "keyword"):
+        raw = search.bm25(q, c, "chunk", k=50) if mode == "keyword" else None
+        if raw is not None:
+            assert {(x.query_id, x.chunk) for x in raw.collect()} <= {(x.query_id, x.chunk) for x in r.candidates.collect()}
     with pytest.raises(ValueError, match="mode"):
         retrieve(q, c, s, "other")
 
@@ -84,3 +88,10 @@ def test_passages_of_an_upload(spark):
     t = spark.createDataFrame([("q", "When is rent due?", "u")], "query_id string, question string, doc_id string")
     assert sorted(r.n for r in answer.selected_passages(p, t, 100).collect()) == [1, 2, 3, 4, 5]
     assert sorted(r.n for r in answer.selected_passages(p, t, 10).collect()) == [1, 2, 4]
+
+
+def test_lay_terms_reach_legal_wording(corpus):
+    _, c, s = corpus
+    q = c.sparkSession.createDataFrame([("lay", "penalty when papers come in late")], "query_id string, question string")
+    plain, wide = (retrieve(q, c, s, "hybrid", lay_terms=t) for t in (None, [("fine is due", ["penalty"])]))
+    assert order(wide, "lay")[0] == 2 and {x.chunk: x.score for x in wide.candidates.collect()}[2] >= {x.chunk: x.score for x in plain.candidates.collect()}[2]

@@ -85,3 +85,25 @@ def test_large_batches_are_joined_to_the_postings(spark, monkeypatch):
     want = sorted(map(tuple, search.bm25(qs, docs, "chunk", k=4, where=F.col("chunk") > 9).collect()))
     monkeypatch.setattr(search, "TERMS_BOUND", 1)
     assert sorted(map(tuple, search.bm25(qs, docs, "chunk", k=4, where=F.col("chunk") > 9).select("query_id", "chunk", "score", "rank").collect())) == sorted(map(tuple, search.bm25(qs, docs, "chunk", k=4, where=F.col("chunk") > 9).select("query_id", "chunk", "score", "rank").collect())) == want
+
+
+def test_phrases_count_like_terms(spark):
+    docs = [(1, "the deed of sale and the deed of sale"), (2, "sale of a deed"), (3, "deed of sale"), (4, "fence"), (5, None)]
+    d = spark.createDataFrame(docs, "chunk bigint, text string")
+    q = spark.createDataFrame([("q", "deed"), ("r", "of")], "query_id string, question string")
+    p = spark.createDataFrame([("q", "Deed of Sale"), ("r", "Deed of Sale"), ("r", "  ")], "query_id string, phrase string")
+    got = {(r.query_id, r.chunk): r.score for r in search.bm25(q, d, "chunk", k=5, phrases=p).collect()}
+    toks = {k: (t or "").split() for k, t in docs}
+    n, avg = 5, sum(map(len, toks.values())) / 5
+    w = lambda df, tf, k: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks[k]) / avg))
+    want = {("q", 1): w(3, 2, 1) + w(2, 2, 1), ("q", 2): w(3, 1, 2), ("q", 3): w(3, 1, 3) + w(2, 1, 3), ("r", 1): w(2, 2, 1), ("r", 3): w(2, 1, 3)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_selection_of_judgments(spark):
+    card = "<strong>Coram : A. B. RAO<sup data-tooltip=\"Author\">*</sup>, C. D. SEN</strong> on the %s"
+    rows = [(f"p{i}", f"Case {i} v. State", f"{i:02}-03-2021", card % ("Deeds Act" if i % 2 else "Fences Act"), "ENG,HIN") for i in range(1, 9)]
+    rows += [("old", "LANDMARK V. STATE", "01-01-2019", card % "none", "ENG"), ("nodate", "x", "soon", card % "Deeds Act", "ENG"), ("hin", "x", "09-03-2021", card % "Deeds Act", "HIN"), ("null", None, None, None, None)]
+    m = spark.createDataFrame(rows, "path string, title string, decision_date string, raw_html string, available_languages string")
+    got = {r.path: (r.group, r.matched_acts) for r in sel.judgments(m, [("deeds", "Deeds Act"), ("fences", "Fences Act")], 3, 2019, [(2019, ["LANDMARK"])]).collect()}
+    assert got == {"p7": ("deeds", ["deeds"]), "p5": ("deeds", ["deeds"]), "p8": ("fences", ["fences"]), "old": ("landmark", [])}

@@ -57,3 +57,30 @@ def test_identities_and_vectors(spark):
     r = row.select(ids.chunk_id(ids.document_id(F.col("u")), F.col("l"), F.col("t")).alias("c"), vectors.norm("v").alias("n"), vectors.normalised("v").alias("u1"), vectors.hash_embedder(32)("t").alias("e")).first()
     assert r.c == f"{hashlib.sha256(b'https://x/1#en').hexdigest()[:12]}:s-4:{hashlib.sha1(b'text').hexdigest()[:8]}"
     assert r.n == 5 and r.u1 == [0.6, 0.8] and abs(sum(x * x for x in r.e) - 1) < 1e-5
+
+
+def test_cards_and_headers(spark):
+    html = '<p><strong>Coram : A. B. RAO<sup data-tooltip="Author">*</sup>, C. D. SEN</strong></p>'
+    d = spark.createDataFrame([(html, "Rao versus .", ".", "PART I — OF THE DEEDS"), (None, "A v. B", "B", None)], "h string, t string, r string, l string")
+    got = d.select(tx.coram("h").alias("c"), tx.case_title("t", "r").alias("t"), tx.tidy_label("l").alias("l")).collect()
+    assert (got[0].c.judges, got[0].c.author, got[0].t, got[0].l) == (["A. B. RAO", "C. D. SEN"], "A. B. RAO", "Rao", "PART I — Of the Deeds")
+    assert (got[1].c.judges, got[1].c.author, got[1].t, got[1].l) == ([], None, "A v. B", None)
+    h = d.select(tx.case_header(F.lit("A v. B"), F.lit("C"), F.lit("2001-01-01"), F.array(F.lit("X")), F.lit("X"), F.lit(""), F.lit(None).cast("string"), F.lit("N1")).alias("h")).first().h
+    assert h == "A v. B\nC — decided 2001-01-01\nBench: X (author: X)\nCNR: N1"
+
+
+def test_unicode_forms(spark):
+    from folioscope.functions import unicode
+
+    d = spark.createDataFrame([("e\u0301tE\u0300  Straße",), (None,), ("plain",)], "t string")
+    got = [(r.a, r.b) for r in d.select(unicode.nfc("t").alias("a"), unicode.folded_case("t").alias("b")).collect()]
+    assert got == [("étÈ  Straße", "étè strasse"), (None, None), ("plain", "plain")]
+
+
+def test_lay_terms_and_states(spark):
+    from folioscope.operators import registry
+
+    entries = [("eviction", ["thrown out", "kicked-out"]), ("bail", ["get out of jail", "जमानत"]), ("none", [])]
+    d = spark.createDataFrame([("He was Thrown  out and thrown-out",), ("the जमानत।",), ("throwing out",), (None,)], "t string")
+    got = [(r.m, r.w) for r in d.select(registry.matched(F.coalesce("t", F.lit("")), entries).alias("m"), registry.rewritten(F.col("t"), registry.matched(F.coalesce("t", F.lit("")), entries)).alias("w")).collect()]
+    assert got == [(["eviction"], "He was Thrown  out and thrown-out (eviction)"), (["bail"], "the जमानत। (bail)"), ([], "throwing out"), ([], None)]
