@@ -9,7 +9,7 @@ With 28 bands of 3 minima a pair of similarity 0.6 is found with probability 0.9
 of the estimate is over four standard deviations.
 
 Buckets and classes of any size are joined in blocks (`pairs_within`), so that none is gathered in one task. Classes are
-told apart by 64-bit hashes. Defined results: null, empty and short texts (under `least` words) are in no pair; rows
+told apart by 64-bit hashes. Defined results: rows without a key are in no pair and no group; null, empty and short texts (under `least` words) are in no pair; rows
 delivered twice under one id are one row.
 """
 
@@ -200,7 +200,7 @@ def linked_classes(s: DataFrame, df: DataFrame, key: str, text: str, threshold:
 
 
 def prepared(df: DataFrame, key: str, text: str, least: int, width: int) -> DataFrame:
-    return staged(signed(df, key, text, least, width), "signed")
+    return staged(signed(df.where(F.col(key).isNotNull()), key, text, least, width), "signed")
 
 
 def pairs(df: DataFrame, key: str, text: str = "text", threshold: float = 0.6, least: int = 20, width: int = 3) -> DataFrame:

@@ -40,6 +40,8 @@ def check(spark, rows, few=None):
 def test_against_brute_force(spark):
     rows = [*corpus(), (1000, None), (1001, ""), (1002, "too short"), (1003, "w " * 19)]
     assert len(check(spark, [*rows, rows[0]])) > 50
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (None, rows[0][1])], "rowid bigint, text string")
+    assert {(r.rowid_a, r.rowid_b) for r in neardup.pairs(df, "rowid").collect()} == brute(rows)
 
 
 def test_copies_and_very_long_texts(spark):

@@ -54,6 +54,13 @@ def test_leaks_and_units_against_brute_force(spark):
         assert abs(sum(x.new_split == name for x in placed) - share * len(r)) <= biggest
 
 
+def test_rows_without_id_and_null_columns(spark):
+    df = spark.createDataFrame([(None, "g", "train", "en", None), ("a", "g", None, None, [None]), ("b", "G ", "dev", None, [(None, None, None)]), ("c", None, None, None, None)], GOLD)
+    assert splits.leaking(df).count() == 0
+    got = {r.id: r.unit for r in splits.assigned(df).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"] == got["b"] != got["c"]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], GOLD)
     assert splits.leaking(df).count() == 0 and splits.assigned(df).count() == 0
@@ -108,4 +115,6 @@ def test_mixture_shares_caps_and_reports(spark):
     for s, want in (("big", 0.5), ("mid", 0.3), ("small", 0.15)):
         assert abs(shares[s].share - want / 0.95) < 0.01
     assert mixture.mixture(d.limit(0), t).count() == 0
+    odd = t.unionByName(spark.createDataFrame([(None, 0.5, 2), ("mid2", None, None)], "source string, target_share double, max_repeats int"))
+    assert {r.source for r in mixture.mixture(d, odd).collect()} == {"big", "mid", "small"}
     assert sum(r.uses * r.n_tokens for r in mixture.mixture(d, t, total=2000).collect()) <= 2000 + 200
