@@ -91,13 +91,18 @@ def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: C
     """
     terms = q.select("term").distinct().select("term", F.xxhash64("term").alias("h"))
     hashed = spread(docs.select(text)).select(F.transform(tx.tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)).alias("t"))
-    counts = hashed.select(F.explode(F.array_distinct("t")).alias("h")).join(small(terms.select("h"), TERMS_BOUND), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
-    n, avg = hashed.agg(F.count("*"), F.avg(F.size("t"))).first()
-    rows = terms.join(counts, "h", "left").orderBy("h").collect()  # at most TERMS_BOUND
+    # one pass: each text once under null, for the number of texts and their length, and once under each of its terms
+    once = hashed.select(F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.array_distinct("t"))).alias("h"))
+    counts = once.groupBy("h").agg(F.count("*").alias("df"), F.sum("len").alias("len"))
+    got = counts.join(small(terms, TERMS_BOUND), "h", "left").where("h is null or term is not null").collect()  # at most TERMS_BOUND
+    whole = next((r for r in got if r["h"] is None), None)
+    n, avg = (whole["df"], whole["len"] / whole["df"]) if whole else (0, None)
+    seen = {r["term"]: r["df"] for r in got}
+    rows = [{"term": r["term"], "h": r["h"], "df": seen.get(r["term"], 0)} for r in terms.orderBy("h").collect()]
     hashes = np.array([r["h"] for r in rows], np.int64)
     if len(np.unique(hashes)) != len(hashes):
         return _joined(q, docs, key, text, where, query)
-    df = np.array([r["df"] or 0 for r in rows], float)
+    df = np.array([r["df"] for r in rows], float)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     at = {r["term"]: i for i, r in enumerate(rows)}
     asked: dict = {}
@@ -122,6 +127,7 @@ def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: C
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, idf, names, lists, avg = shared.value
         kind = pa.array(names[:1]).type if names else pa.string()
+        best, least = [np.zeros(0)] * len(lists), np.zeros(len(lists))
         for b in batches:
             tokens = b.column(1)
             ends = tokens.offsets.to_numpy()
@@ -147,13 +153,18 @@ def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: C
                 for t in ts:
                     s = slice(first[t], first[t + 1])
                     total[doc[s]] += weight[s]
-                d = np.nonzero(total)[0]
+                # what the task has already passed on sets how good a text must be; ties stay in
+                d = np.nonzero(total > max(least[i] - 1e-6, 0))[0]
                 if not len(d):
                     continue
                 s = np.round(total[d], 6)
                 if len(d) > k:
-                    keep = s >= np.partition(s, -k)[-k]  # with all ties of the last place
+                    keep = s >= np.partition(s, -k)[-k]
                     d, s = d[keep], s[keep]
+                best[i] = np.concatenate((best[i], s)) if len(best[i]) else s
+                if len(best[i]) >= k:
+                    best[i] = np.partition(best[i], -k)[-k:]
+                    least[i] = best[i][0]
                 out_q.append(np.full(len(d), i))
                 out_d.append(d)
                 out_s.append(s)
