@@ -110,10 +110,12 @@ def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: C
         asked.setdefault(r[0], []).append(at[r[1]])
     # phrases are terms behind the others
     wording = sorted({p for _, p in said})
-    flat = F.concat(F.lit(" "), F.array_join(tx.tokens(F.coalesce(F.col(text), F.lit(""))), " "), F.lit(" "))
-    held = F.array(*[F.regexp_count(flat, F.lit(f"(?<= ){re.escape(p)}(?= )")) for p in wording]) if wording else F.array().cast("array<int>")
+    words = tx.tokens(F.coalesce(F.col(text), F.lit("")))
+    flat = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_f")  # made once, not once a phrase
+    count = lambda p: F.when(F.contains("_f", F.lit(f" {p} ")), F.regexp_count("_f", F.lit(f"(?<= ){re.escape(p)}(?= )"))).otherwise(0)
+    held = F.array(*[count(p) for p in wording]) if wording else F.array().cast("array<int>")
     if wording:
-        found = spread(docs.select(text)).select(F.posexplode(held).alias("p", "c")).where("c > 0").groupBy("p").agg(F.count("*").alias("df")).collect()  # at most PHRASES
+        found = spread(docs.select(text)).select(words.alias("_w")).select(flat).select(F.posexplode(held).alias("p", "c")).where("c > 0").groupBy("p").agg(F.count("*").alias("df")).collect()  # at most PHRASES
         of = {r["p"]: r["df"] for r in found}
         also = np.array([of.get(i, 0) for i in range(len(wording))], float)
         idf = np.concatenate((idf, np.log(1 + (n - also + 0.5) / (also + 0.5))))
@@ -172,7 +174,10 @@ def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: C
                 yield pa.RecordBatch.from_arrays([pa.array(names, kind).take(pa.array(np.concatenate(out_q))), keys.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], [query, key, "score"])
 
     made = spread((docs if where is None else docs.where(where)).select(key, text))
-    ready = made.select(key, F.transform(tx.tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)).alias("t"), held.alias("p"))
+    ready = made.select(key, words.alias("_w"))
+    if wording:
+        ready = ready.select(key, "_w", flat)
+    ready = ready.select(key, F.transform("_w", lambda t: F.xxhash64(t)).alias("t"), held.alias("p"))
     return ready.mapInArrow(score, f"`{query}` {q_type}, `{key}` {k_type}, score double")
 
 
