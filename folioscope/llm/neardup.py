@@ -16,6 +16,7 @@ delivered twice under one id are one row.
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ HASHES = BANDS * ROWS
 MARGIN = 0.26
 #: Classes in candidate pairs up to which these are sent to the texts, not the texts to them.
 HEADS_BOUND = 500_000
+#: Pairs of a cell of the exact check; their texts and word sequences are in a worker's memory at once.
+PER_CELL = 500
 PARTS = re.compile(r"[ \t\r\n]+")
 _random = np.random.default_rng(20240607)
 A = _random.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -176,7 +179,7 @@ def linked_classes(s: DataFrame, df: DataFrame, key: str, text: str, threshold:
     if heads.count() <= HEADS_BOUND:
         heads = F.broadcast(heads)  # checked; beyond the bound the texts are shuffled to them
     texts = df.select(key, F.col(text).alias("t")).join(heads, key).dropDuplicates(["class"]).select("class", "t")
-    side = max(1, int((close.count() / 4000) ** 0.5))
+    side = max(1, int((close.count() / PER_CELL) ** 0.5))
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     placed = close.select("a", "b", cell(F.col("a")).alias("x"), cell(F.col("b")).alias("y"))
     needs = placed.select(F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.explode(F.array("a", "b")).alias("class")).distinct().join(texts, "class")
@@ -184,7 +187,7 @@ def linked_classes(s: DataFrame, df: DataFrame, key: str, text: str, threshold:
     def exact(key_: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         sets = {}
         for c, t in zip(q["class"].to_numpy(np.int64), q["t"], strict=True):
-            w = words_of(t)
+            w = [sys.intern(x) for x in words_of(t)]  # the same words come in many texts
             sets[c] = frozenset(zip(*(w[k:] for k in range(width)), strict=False)) or frozenset([tuple(w)])
         a, b, sim = [], [], []
         for i, j in zip(p["a"].to_numpy(np.int64), p["b"].to_numpy(np.int64), strict=True):
