@@ -12,13 +12,15 @@ and ties each get their own row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import codes_of, mapped, mixed, words_of
+from folioscope.llm.blocks import blocks, codes_of, mapped, mixed, words_of
 
 RUN, SHARE, LEAST = 5, 0.3, 20
 #: Buckets of the hashed n-grams; a fixed bound on what the multinomials hold.
@@ -70,36 +72,52 @@ def repetitive(df: DataFrame, key: str, text: str = "text", run: int = RUN, shar
     return d.where((F.col("n_words") >= least) & (F.col("n_repeated") >= F.col("n_words") * F.lit(share) - 1e-9))
 
 
+def _cells(texts: list[str | None], run: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: where each document's runs begin and end, the cell of each run, whether one came before in its document.
+
+    The cell is a hash of the run's words, the same everywhere, in the first or second half of the cells.
+    """
+    _, first, starts, _, again = _runs(texts, run)
+    codes, uniques = pd.factorize(np.array([w for t in texts if t for w in words_of(t.lower())], object)) if first[-1] else (np.zeros(0, np.int64), np.zeros(0, object))
+    stable = pd.util.hash_array(np.array(list(uniques), object), categorize=False).astype(np.uint64)
+    h = np.zeros(len(starts), np.uint64)
+    for k in range(run):
+        h = mixed(h * np.uint64(31) + stable[codes[starts + k]])
+    return np.searchsorted(starts, first), (h % np.uint64(buckets)).astype(np.int64) + np.where(again, buckets, 0), again
+
+
 def likelihood(df: DataFrame, key: str, text: str = "text", run: int = RUN, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_grams, llr, repetitive): mean log-likelihood ratio of the hashed runs, trusted against raw.
 
-    A document without runs has llr 0 and isn't repetitive. Counts go over all documents; the model has 2 * buckets cells.
+    A document without runs has llr 0 and isn't repetitive. Counts go over all documents: each batch sums its own, so that
+    no more than 2 * buckets rows leave it, and the model has 2 * buckets weights.
     """
 
-    def hashed(texts: list[str | None]) -> list[pa.Array]:
-        n, first, starts, _, again = _runs(texts, run)
-        words = [w for t in texts if t for w in words_of(t.lower())]
-        vocabulary, uniques = pd.factorize(np.array(words, object)) if words else (np.zeros(0, np.int64), [])
-        stable = pd.util.hash_array(np.array(list(uniques), object)).astype(np.uint64) if len(uniques) else np.zeros(0, np.uint64)
-        w = stable[vocabulary]
-        h = np.zeros(len(starts), np.uint64)
-        for k in range(run):
-            h = mixed(h * np.uint64(31) + w[starts + k])
-        cell = (h % np.uint64(buckets)).astype(np.int32) + np.where(again, buckets, 0).astype(np.int32)
-        ends = np.searchsorted(starts, first)
-        return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(cell))]
-
-    grams = mapped(df, [key], text, "cells array<int>", hashed)
-    one = grams.select(F.exists("cells", lambda c: c >= buckets).alias("dirty"), F.explode("cells").alias("cell"))
-    counts = one.groupBy("cell").agg(F.count("*").alias("raw"), F.count(F.when(~F.col("dirty"), 1)).alias("trusted"))
-    model = counts.select("cell", "raw", "trusted", F.sum("raw").over(_all()).alias("r"), F.sum("trusted").over(_all()).alias("t"))
-    model = model.select("cell", (F.log((F.col("trusted") + 1) / (F.col("t") + 2 * buckets)) - F.log((F.col("raw") + 1) / (F.col("r") + 2 * buckets))).alias("weight"))
-    scored = grams.select(key, F.explode_outer("cells").alias("cell")).join(F.broadcast(model), "cell", "left")  # model: at most 2 * buckets rows
-    out = scored.groupBy(key).agg(F.count("cell").alias("n_grams"), F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr"))
-    return out.withColumn("repetitive", F.col("llr") < threshold)
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, trusted = np.zeros(2 * buckets, np.int64), np.zeros(2 * buckets, np.int64)
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for i, j in blocks(texts):
+                ends, cell, again = _cells(texts[i:j], run, buckets)
+                dirty = np.repeat([again[x:y].any() for x, y in zip(ends[:-1], ends[1:], strict=True)], np.diff(ends)) if len(cell) else np.zeros(0, bool)
+                raw += np.bincount(cell, minlength=2 * buckets)
+                trusted += np.bincount(cell[~dirty], minlength=2 * buckets)
+        at = np.nonzero(raw)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], ["cell", "raw", "trusted"])
+
+    parts = df.select(F.col(text)).mapInArrow(count, "cell bigint, raw bigint, trusted bigint")
+    model = parts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect()  # at most 2 * buckets
+    raw, trusted = np.zeros(2 * buckets), np.zeros(2 * buckets)
+    for r in model:
+        raw[r["cell"]], trusted[r["cell"]] = r["raw"], r["trusted"]
+    weight = np.log((trusted + 1) / (trusted.sum() + 2 * buckets)) - np.log((raw + 1) / (raw.sum() + 2 * buckets))
+    shared = df.sparkSession.sparkContext.broadcast(weight)  # 2 * buckets numbers
+
+    def score(texts: list[str | None]) -> list[pa.Array]:
+        ends, cell, _ = _cells(texts, run, buckets)
+        total = np.concatenate(([0.0], np.cumsum(shared.value[cell])))
+        n = np.diff(ends)
+        llr = np.where(n > 0, (total[ends[1:]] - total[ends[:-1]]) / np.maximum(n, 1), 0.0)
+        return [pa.array(n.astype(np.int64)), pa.array(llr), pa.array(llr < threshold)]
+
+    return mapped(df, [key], text, "n_grams bigint, llr double, repetitive boolean", score)
