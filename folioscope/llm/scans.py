@@ -9,8 +9,8 @@
 3. Paragraph boundaries between the lines are chosen by dynamic programming: a paragraph costs something, more if it
    doesn't end as a sentence, and lines inside it cost what speaks for a boundary before them.
 
-Word frequencies are counted over the texts without broken lines, which digital text mostly is. They are broadcast only up
-to WORDS_BOUND words; above it each text gets the counts of its own words and their readings by a join (`joined`).
+Word frequencies are counted over all texts, but for the tokens that a line end cuts and the lines taken out. They are broadcast
+only up to WORDS_BOUND words; above it each text gets the counts of its own words and their readings by a join (`joined`).
 
 Defined results: null, empty and blank texts, and those of other text sources, give no row; a text without page numbers
 (null page_start and page_end) has no unusable page; repeated pages count once.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ CONFUSIONS = {
 #: A reading must be so many times commoner than what is seen.
 RATIO = 20
 CUT = "-¬\xad‐‑=­⸗"
+#: A line end that may part a word or a sentence.
+BROKEN = r"[\p{L}\p{M},\-¬\xad‐‑=­⸗]\s*\n"
 PUNCTUATION = ".,;:?!…“”\"'’‘()[]{}«»<>।॥۔؟。，；：？！（）—–*~^|¦_•·°"
 TRIM = PUNCTUATION.replace("!", "").replace("(", "").replace("|", "")
 WORDLIKE = re.compile(r"[^\W\d_]")
@@ -132,7 +135,10 @@ class Reader:
         if not w or not WORDLIKE.search(w):
             return True
         if any(PLAIN.match(p) and self.count(p.lower()) and self.read(p) is None for p in (w, w.removesuffix("’s").removesuffix("'s"))):
-            return True
+            # a last letter read as a mark leaves a form that may be counted itself
+            whole = token.strip(TRIM)
+            meant = self.read(whole) if whole != w else None
+            return meant is None or self.count(meant) < RATIO * self.count(w.lower())
         return not self.misread(token)
 
     def misread(self, token: str) -> str | None:
@@ -210,11 +216,10 @@ class Reader:
         kept = self.count(compound)
         if kept > joined:
             return [("compound", -5.0, f"{left}-{right}")]
-        if joined:
-            read = self.misread(whole)
-            return [("hyphen chars" if read else "hyphen", -5.0, left + right)]
         if read := self.misread(head + tail):
             return [("hyphen chars", -5.0, left.replace(head, "") + read + right[len(tail) :] if right.startswith(tail) else left + right)]
+        if joined:
+            return [("hyphen", -5.0, left + right)]
         if compound_read := self.misread(compound):
             return [("compound chars", -5.0, compound_read)]
         # neither is known: names of places and persons are cut like words, two capitals are a compound
@@ -274,8 +279,8 @@ def paragraphs(lines: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def decode(text: str, title: str | None, reader: Reader, repair: bool = False) -> tuple[set[str], list[str]]:
-    """(defects, paragraphs); paragraphs only with `repair`."""
+def delined(text: str, title: str | None) -> tuple[set[str], list[str]]:
+    """(defects, lines): the lines without headers, page numbers and blank lines, and which of them there were."""
     found: set[str] = set()
     lines = text.split("\n")
     if len(lines) > 1:
@@ -290,6 +295,11 @@ def decode(text: str, title: str | None, reader: Reader, repair: bool = False) -
             else:
                 kept.append(x.rstrip("\r "))
         lines = kept
+    return found, lines
+
+
+def stream(lines: list[str]) -> tuple[list[str], list[str], list[int]]:
+    """(tokens, breaks, starts): the words of the lines, the mark that cuts a word at its line's end or "", where lines start."""
     tokens, breaks, starts = [], [], []
     for k, x in enumerate(lines):
         starts.append(len(tokens))
@@ -298,6 +308,13 @@ def decode(text: str, title: str | None, reader: Reader, repair: bool = False) -
         breaks += [""] * len(words)
         if words and k + 1 < len(lines) and words[-1][-1] in CUT and len(words[-1]) > 1 and words[-1][-2].isalpha() and lines[k + 1].split() and lines[k + 1].lstrip("“\"(")[:1].isalpha():
             breaks[-1] = words[-1][-1]
+    return tokens, breaks, starts
+
+
+def decode(text: str, title: str | None, reader: Reader, repair: bool = False) -> tuple[set[str], list[str]]:
+    """(defects, paragraphs); paragraphs only with `repair`."""
+    found, lines = delined(text, title)
+    tokens, breaks, starts = stream(lines)
     ok = reader.ok
     # runs of words that must be decoded; words that only lack a blank, or have one too many, matter to the repair alone
     odd = (lambda t: not ok(t) or reader.unknown(t)) if repair else (lambda t: not ok(t))
@@ -334,11 +351,26 @@ def decode(text: str, title: str | None, reader: Reader, repair: bool = False) -
     return found, out
 
 
-def words(chunks: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
-    """(word, n): lower-cased words of the texts without broken lines, those seen at least `least` times."""
+def words(chunks: DataFrame, text: str = "text", least: int = 3, title: str = "title") -> DataFrame:
+    """(word, n): lower-cased words of all texts, those seen at least `least` times.
+
+    Texts whose lines may part words or sentences are de-lined as `decode` does it: headers, page numbers and the tokens on
+    both sides of a cut word don't count.
+    """
     t = F.col(text)
-    whole = chunks.where(t.isNotNull() & ~t.rlike(r"[\p{L},\-]\s*\n")).select(F.explode(F.split(F.lower(t), r"[\s]+")).alias("token"))
-    counted = whole.groupBy("token").agg(F.count("*").alias("n"))
+    broken = t.rlike(BROKEN)
+    whole = chunks.where(t.isNotNull() & ~broken).select(F.explode(F.split(F.lower(t), r"[\s]+")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter[str] = Counter()
+            for x, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tokens, breaks, _ = stream(delined(x, name)[1])
+                seen.update(w for w, cut, before in zip(tokens, breaks, ["", *breaks], strict=False) if not cut and not before)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+
+    lined = chunks.where(broken).select(t, F.col(title).cast("string")).mapInArrow(tally, "token string, n bigint")
+    counted = whole.unionByName(lined.select(F.lower("token").alias("token"), "n")).groupBy("token").agg(F.sum("n").alias("n"))
     bare = F.regexp_replace("token", r"^[^\p{L}]+|[^\p{L}\p{M}]+$", "")
     bare = F.regexp_replace(bare, r"['’]s$", "")
     return counted.select(bare.alias("word"), "n").where("word rlike '^[\\\\p{L}\\\\p{M}’\\'–-]{1,40}$'").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

@@ -67,3 +67,18 @@ def test_repaired_paragraphs(spark):
     chunks, pages = tables(spark)
     got = {(r.rowid, r.paragraph): r.text for r in scans.repaired(chunks, pages).where("rowid < 8").collect()}
     assert got == {(1, 1): "the seasonal policy", (3, 1): "against the clerk"}
+
+
+def test_words_of_texts_with_broken_lines_count(spark):
+    lined = "PARISH NOTES\nthe lindmoor court, the\nunion sea-\nPARISH NOTES\n12\nsonal court"
+    chunks = spark.createDataFrame([(i, "Parish Notes", t) for i, t in enumerate([lined] * 3 + ["the court"] * 3 + [None])], "rowid bigint, title string, text string")
+    assert {r.word: r.n for r in scans.words(chunks).collect()} == {"the": 9, "lindmoor": 3, "court": 9, "union": 3}
+
+
+def test_misread_forms_that_are_counted_are_still_read():
+    r = scans.Reader(COUNTS | {"surveyor": 900, "siirveyor": 4, "salvag": 4})
+    assert scans.decode("the siirvey-\nor of siirveyor", "T", r, True) == ({"chars", "hyphen"}, ["the surveyor of surveyor"])
+    r = scans.Reader({"délai": 900, "déla": 4})
+    assert scans.decode("déla! délai", "T", r, True)[1] == ["délai délai"]
+    r = scans.Reader({"model": 900, "mode": 400})
+    assert scans.decode("mode! model", "T", r, True)[1] == ["mode! model"]
