@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import mapped
+from folioscope.llm.blocks import types_of
 
 WORDS_BOUND = 300_000
 #: Shapes that scanning takes for each other: seen -> meant.
@@ -416,28 +416,38 @@ def _decoded(chunks: DataFrame, bound: int, added: str, fn: Callable[[list, Call
     return mapped_structs(own, keep, added, alone)
 
 
+def asks_of(text: str, title: str | None) -> set[str]:
+    """Every word whose count a Reader may want for the text, from the stream of tokens that `decode` reads."""
+    tokens, breaks, _ = stream(delined(text, title)[1])
+    forms, mine = set(tokens), set()
+    for t, cut, u in zip(tokens, breaks, tokens[1:], strict=False):
+        if cut:
+            head, tail = t[:-1].lstrip(PUNCTUATION), u.strip(PUNCTUATION)
+            m = re.match(r"[^\W\d_]+|\w+", tail)
+            tail = m[0] if m else tail
+            forms |= {head + tail, f"{head}-{tail}", head, tail}
+        elif t.isalpha():
+            mine.add(t + u.rstrip(PUNCTUATION))
+    for token in forms:
+        for w in {token.lower(), token.strip(PUNCTUATION).lower(), token.strip(TRIM).lower()}:
+            for p in {w, w.removesuffix("’s").removesuffix("'s"), *re.split(r"[-–]", w), *re.split(r"[-–]", w.removesuffix("’s").removesuffix("'s"))}:
+                if p and len(p) <= 60:
+                    mine |= {p, *(v for v, _ in variants(p))}
+            for k in range(2, len(w) - 1):
+                mine |= {w[:k], w[k:]}
+    return mine
+
+
 def joined(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows whose struct also holds the counts of its own words, joins and readings: the way without a broadcast."""
 
-    def asked(texts: list) -> tuple[np.ndarray, list[pa.Array]]:
-        at, ask = [], []
-        for i, t in enumerate(texts):
-            mine: set[str] = set()
-            ts = re.findall(r"\S+", t or "")
-            pairs = [a[:-1] + b for a, b in zip(ts, ts[1:], strict=False) if a[-1] in CUT] + [f"{a[:-1]}-{b}" for a, b in zip(ts, ts[1:], strict=False) if a[-1] in CUT]
-            for token in [*ts, *pairs]:
-                for cut in (PUNCTUATION, TRIM):
-                    w = token.strip(cut).lower()
-                    for p in {w, w.removesuffix("’s").removesuffix("'s"), *re.split(r"[-–]", w)}:
-                        if 1 < len(p) <= 60:
-                            mine |= {p, *(v for v, _ in variants(p))}
-                    for k in range(2, len(w) - 1):
-                        mine |= {w[:k], w[k:]}
-            at += [i] * len(mine)
-            ask += mine
-        return np.array(at, np.int64), [pa.array(ask, pa.string())]
-
-    asks = mapped(rows.select("rowid", F.col("both.text").alias("t")), ["rowid"], "t", "word string", asked)
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rowid, both in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                mine = asks_of(both["text"] or "", both["title"])
+                yield pa.RecordBatch.from_arrays([pa.array([rowid] * len(mine), pa.int64()), pa.array(list(mine), pa.string())], ["rowid", "word"])
+
+    asks = rows.select(F.col("rowid").cast("bigint"), "both").mapInArrow(asked, "rowid bigint, word string")
     got = asks.join(table, "word").groupBy("rowid").agg(F.collect_list(F.struct("word", "n")).alias("words"))  # bounded by the text
     both = rows.join(got, "rowid", "left")
     return both.select("rowid", "doc_id", "page_start", "page_end", F.struct("both.title", "both.text", "words").alias("both"))
@@ -446,7 +456,6 @@ def joined(rows: DataFrame, table: DataFrame) -> DataFrame:
 def mapped_structs(df: DataFrame, keep: list[str], added: str, fn: Callable[[list], object]) -> DataFrame:
     """`mapped` for a struct column with a text; blocks follow the rows of a batch."""
     names = [*keep, *[x.strip().split()[0] for x in added.split(", ")]]
-    from folioscope.llm.blocks import types_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -82,3 +82,12 @@ def test_misread_forms_that_are_counted_are_still_read():
     assert scans.decode("déla! délai", "T", r, True)[1] == ["délai délai"]
     r = scans.Reader({"model": 900, "mode": 400})
     assert scans.decode("mode! model", "T", r, True)[1] == ["mode! model"]
+
+
+def test_repaired_with_words_broadcast_or_joined(spark):
+    chunks, pages = tables(spark)
+    hard = ["withheld un der review", "the sea-\n12\nsonal anyaggrieved ow¬\nLOWWHARF TRUSTS ACT, 1944\nner po1icy", "the pcrma-\nvii\nnent long-\n- 3 -\nstanding vice-\nchairman’s clcrk's a"]
+    more = chunks.sparkSession.createDataFrame([(20 + i, 9, "Lowwharf Trusts Act, 1944", t, "ocr", 1, 1) for i, t in enumerate(hard)], CHUNKS)
+    chunks = chunks.drop("word", "n").unionByName(more)
+    a, b = (sorted(map(tuple, scans.repaired(chunks, pages, bound).collect())) for bound in (scans.WORDS_BOUND, 0))
+    assert a == b and (20, 1, "withheld under review") in b and any(r == 21 and x.startswith("the seasonal any aggrieved") for r, _, x in b)
