@@ -87,7 +87,7 @@ def checked_answers(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "phase1_acceptance").where("answer_markdown is not null")
     cited = a.select("result_id", F.explode_outer("cited").alias("c")).select("result_id", "c.act", "c.section")
     c = _chunks(spark, sf).where("doc_type = 'statute'").select(F.col("act_title").alias("act"), "section", "chunk", F.struct("chunk", *citations.FIELDS, "section", "doc_type").alias("s"))
-    src = cited.join(c, ["act", "section"]).groupBy("result_id").agg(F.slice(F.array_sort(F.collect_set("s")), 1, 50).alias("sources"))  # chunks of the cited sections
+    src = cited.join(c, ["act", "section"]).groupBy("result_id").agg(F.array_sort(F.collect_set("s")).alias("sources"))  # all chunks of the cited sections
     s = table(spark, sf, "statutes")
     titles = {x["id"]: x["short_title"] for x in s.select("id", "short_title").collect()}
     d = a.select("result_id", "answer_markdown").join(src, "result_id", "left")
