@@ -12,6 +12,13 @@ def stored(spark, where, **tables):
     return str(where)
 
 
+def test_passages_with_long_numbers_stay_apart(spark):
+    texts = ["rent rent rent due", "rent", *["other matter entirely"] * 8]
+    p = spark.createDataFrame([("u", 1_000_000 + i, t, len(t.split())) for i, t in enumerate(texts)], "doc_id string, n bigint, text string, words int")
+    t = spark.createDataFrame([("q", "When is rent due?", "u")], "query_id string, question string, doc_id string")
+    assert [r.n for r in answer.selected_passages(p, t, 4, 0).collect()] == [1_000_000]
+
+
 def test_answers_are_held_against_all_cited_chunks(spark, tmp_path):
     names = [f.name for f in spark.read.parquet("/root/testdata/sf0.001/chunks.parquet").schema]
     chunks = spark.range(70).select(F.col("id").alias("rowid"), F.lit("statute").alias("doc_type"), F.lit("Deeds Act, 1908").alias("act_title"), F.lit("23").alias("section"), F.concat(F.lit("the parcel of lot "), "id", F.lit(" shall be fenced")).alias("text"))
