@@ -53,10 +53,10 @@ def keep_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replace_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The chunk table after the documents of one source are delivered again with repeated texts."""
-    c = table(spark, sf, "chunks").select("rowid", "doc_id", "locator", "text")
-    new = c.where("doc_id % 5 = 0").select((F.col("rowid") + 1_000_000).alias("rowid"), "doc_id", "locator", "text")
-    return store.replaced(c, new, "doc_id", ["doc_id", "text"], "rowid").groupBy((F.col("rowid") >= 1_000_000).alias("fresh")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    """The chunk table after every fifth document is delivered again with repeated texts, as the SQL has it."""
+    c = table(spark, sf, "chunks").select("rowid", "doc_id", "locator", "text", F.lit(False).alias("fresh"))
+    new = c.where("doc_id % 5 = 0").withColumn("fresh", F.lit(True))
+    return store.replaced(c, new, "doc_id", ["doc_id", "text"], "rowid").groupBy("fresh").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def chunk_identity(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,12 @@ def stored(spark, where, **tables):
     return str(where)
 
 
+def test_redelivered_rows_are_known_by_a_flag(spark, tmp_path):
+    rows = [(1_000_007, 1, "a", "x"), (2_000_000, 2, "a", "y"), (3, 5, "a", "z"), (1_000_003, 5, "b", "z")]
+    sf = stored(spark, tmp_path, chunks=(rows, "rowid bigint, doc_id bigint, locator string, text string"))
+    assert {(r.fresh, r.n, r.docs) for r in ledger.replace_documents(spark, sf).collect()} == {(False, 2, 2), (True, 1, 1)}
+
+
 def test_passages_with_long_numbers_stay_apart(spark):
     texts = ["rent rent rent due", "rent", *["other matter entirely"] * 8]
     p = spark.createDataFrame([("u", 1_000_000 + i, t, len(t.split())) for i, t in enumerate(texts)], "doc_id string, n bigint, text string, words int")
