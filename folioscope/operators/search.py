@@ -56,24 +56,38 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str = "text", k: i
 
     Ties by key. Texts without a term of the question don't come out; with k None all that have one do. The texts stay where
     they are: each task scores its own against all questions and passes on the k best of each question. Only a batch with
-    more than TERMS_BOUND terms is joined to the postings instead, as is one that wants all hits.
+    more than TERMS_BOUND terms or phrases, or PHRASES different ones, is joined to the postings instead, as is one that wants all hits.
 
-    phrases: (query, phrase), up to PHRASES different ones, counted like terms where their tokens stand one after the other.
+    phrases: (query, phrase), counted like terms where their tokens stand one after the other.
     """
     q = terms_of(queries, query, question)
-    said = [] if phrases is None else sorted({(r[0], r[1]) for r in phrases.select(query, F.array_join(tx.tokens("phrase"), " ")).distinct().limit(TERMS_BOUND).collect() if r[1]})
-    if said:
-        if len({p for _, p in said}) > PHRASES or k is None:
-            raise ValueError("phrases are for ranked batches with few different ones")
-        return top(_scored(q, docs, key, text, k, where, query, said), query, key, k)
-    if k is None or q.limit(TERMS_BOUND + 1).count() > TERMS_BOUND:
-        scored = _joined(q, docs, key, text, where, query)
+    pairs, said = None, []
+    if phrases is not None:
+        pairs = phrases.select(query, F.array_join(tx.tokens("phrase"), " ").alias("phrase")).where("phrase != ''").distinct()
+        said = sorted({(r[0], r[1]) for r in pairs.limit(TERMS_BOUND + 1).collect()})
+    many = len(said) > TERMS_BOUND or len({p for _, p in said}) > PHRASES
+    if k is None or many or q.limit(TERMS_BOUND + 1).count() > TERMS_BOUND:
+        scored = _joined(q, docs, key, text, where, query, pairs)
         return scored if k is None else top(scored, query, key, k)
-    return top(_scored(q, docs, key, text, k, where, query), query, key, k)
+    return top(_scored(q, docs, key, text, k, where, query, said, pairs), query, key, k)
 
 
-def _joined(q: DataFrame, docs: DataFrame, key: str, text: str, where: Column | None, query: str) -> DataFrame:
+def _phrase_postings(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """(key, len, phrase, tf) of the phrases in names (phrase, their tokens with blanks between)."""
+    p = names.select("phrase").distinct()
+    p = p.withColumn("term", F.element_at(F.sort_array(F.transform(F.split("phrase", " "), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"])
+    d = docs.select(key, tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    d = d.select(key, F.size("_t").alias("len"), F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")).alias("_f"), F.explode(F.array_distinct("_t")).alias("term"))
+    held = d.join(small(p, TERMS_BOUND), "term").where(F.contains("_f", F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    return held.select(key, "len", "phrase", F.regexp_count("_f", F.concat(F.lit("(?<= )\\Q"), "phrase", F.lit("\\E(?= )"))).cast("bigint").alias("tf"))
+
+
+def _joined(q: DataFrame, docs: DataFrame, key: str, text: str, where: Column | None, query: str, pairs: DataFrame | None = None) -> DataFrame:
     p = postings(docs, key, text, q)
+    if pairs is not None:
+        # phrases are terms with a blank in front
+        p = p.unionByName(_phrase_postings(docs, key, text, pairs).withColumn("phrase", F.concat(F.lit(" "), "phrase")).withColumnRenamed("phrase", "term"))
+        q = q.unionByName(pairs.select(query, F.concat(F.lit(" "), "phrase").alias("term")))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     stats = collection(docs, key, text)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -84,7 +98,7 @@ def _joined(q: DataFrame, docs: DataFrame, key: str, text: str, where: Column |
     return p.join(weights, "term").groupBy(query, key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
-def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: Column | None, query: str, said: list[tuple] = ()) -> DataFrame:
+def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: Column | None, query: str, said: list[tuple] = (), pairs: DataFrame | None = None) -> DataFrame:
     """(query, key, score): of each batch of texts the k best of each question.
 
     Terms go to numpy as 64-bit hashes; those of the questions are checked to be different from each other.
@@ -101,7 +115,7 @@ def _scored(q: DataFrame, docs: DataFrame, key: str, text: str, k: int, where: C
     rows = [{"term": r["term"], "h": r["h"], "df": seen.get(r["term"], 0)} for r in terms.orderBy("h").collect()]
     hashes = np.array([r["h"] for r in rows], np.int64)
     if len(np.unique(hashes)) != len(hashes):
-        return _joined(q, docs, key, text, where, query)
+        return _joined(q, docs, key, text, where, query, pairs)
     df = np.array([r["df"] for r in rows], float)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     at = {r["term"]: i for i, r in enumerate(rows)}

@@ -107,3 +107,19 @@ def test_selection_of_judgments(spark):
     m = spark.createDataFrame(rows, "path string, title string, decision_date string, raw_html string, available_languages string")
     got = {r.path: (r.group, r.matched_acts) for r in sel.judgments(m, [("deeds", "Deeds Act"), ("fences", "Fences Act")], 3, 2019, [(2019, ["LANDMARK"])]).collect()}
     assert got == {"p7": ("deeds", ["deeds"]), "p5": ("deeds", ["deeds"]), "p8": ("fences", ["fences"]), "old": ("landmark", [])}
+
+
+def test_phrases_count_in_every_plan(spark, monkeypatch):
+    docs = [(1, "the deed of sale and the deed of sale"), (2, "sale of a deed"), (3, "deed of sale"), (4, "fence of fence of fence"), (5, None)]
+    d = spark.createDataFrame(docs, "chunk bigint, text string")
+    q = spark.createDataFrame([("q", "deed"), ("r", "of"), ("s", "fence")], "query_id string, question string")
+    p = spark.createDataFrame([("q", "Deed of Sale"), ("r", "Deed of Sale"), ("r", "  "), ("s", "fence of fence"), ("s", "fence"), ("s", None)], "query_id string, phrase string")
+    found = lambda: sorted((r.query_id, r.chunk, r.score, r["rank"]) for r in search.bm25(q, d, "chunk", k=5, where=F.col("chunk") != 2, phrases=p).collect())
+    want = found()
+    for name, bound in (("TERMS_BOUND", 1), ("PHRASES", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(search, name, bound)
+            assert found() == want
+    with monkeypatch.context() as m:
+        m.setattr(search.np, "unique", lambda x, **k: x[:0])  # as if two terms had one hash
+        assert found() == want
