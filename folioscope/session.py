@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []
+
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -61,13 +65,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table in the shared folder, which goes when the session's JVM ends or `working` is left."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p)
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Removes, on leaving, what was staged inside; results must have been read or written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """As cut, but as Parquet: later reads prune columns and push filters down."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
