@@ -61,3 +61,13 @@ class Flow:
                 self.left[e ^ 1] += push
             sent += push
         return sent
+
+    def reach(self, source, eps: float = 1e-6) -> set:
+        """Names of the nodes to which more could be sent: the near side of the least cut after `solve`."""
+        near, todo = {self.node(source)}, [self.node(source)]
+        while todo:
+            for e in self.out[todo.pop()]:
+                if self.left[e] > eps and self.to[e] not in near:
+                    near.add(self.to[e])
+                    todo.append(self.to[e])
+        return {name for name, i in self.at.items() if i in near}

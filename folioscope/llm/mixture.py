@@ -22,6 +22,8 @@ from folioscope.llm.tokens import with_counts
 from folioscope.session import staged
 
 SEED = 29
+#: Sets of targeted sources that hold a common text.
+PATTERNS_BOUND = 4_095
 
 
 def routed(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[float, int]], total: float | None = None) -> tuple[dict[tuple[int, str], float], float]:
@@ -31,7 +33,8 @@ def routed(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple
     if not live:
         return {}, 0.0
 
-    def attempt(size: float) -> tuple[dict[tuple[int, str], float], bool]:
+    def attempt(size: float) -> tuple[dict[tuple[int, str], float], bool, float]:
+        """(flows, whether all of `size` came through, the size that the cut in the way lets through)."""
         net, edges = Flow(), {}
         for p, (ss, w) in enumerate(patterns):
             inside = [s for s in ss if s in live]
@@ -43,22 +46,21 @@ def routed(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple
         for s, (share, _) in live.items():
             net.edge(s, "mix", size * share / scale)
         sent = net.solve("all", "mix")
-        return {k: sum(net.flow_of(e) for e in v) for k, v in edges.items()}, sent >= size * (1 - 1e-9) - 1e-6
+        near = net.reach("all")
+        open_shares = sum(share for s, (share, _) in live.items() if s in near) / scale
+        fixed = sent - size * open_shares
+        return {k: sum(net.flow_of(e) for e in v) for k, v in edges.items()}, sent >= size * (1 - 1e-9) - 1e-6, fixed / max(1 - open_shares, 1e-12)
 
-    high = float(sum(w * max((live[s][1] for s in ss if s in live), default=0) for ss, w in patterns))
+    size = float(sum(w * max((live[s][1] for s in ss if s in live), default=0) for ss, w in patterns))
     if total is not None:
-        high = min(high, float(total))
-    flows, full = attempt(high)
-    if full:
-        return flows, high
-    low = 0.0
-    for _ in range(50):
-        middle = (low + high) / 2
-        if attempt(middle)[1]:
-            low = middle
-        else:
-            high = middle
-    return attempt(low)[0], low
+        size = min(size, float(total))
+    # what lies in a cut's capacity without growing with the size bounds it; each cut is met once, so this ends
+    for _ in range(2 ** min(len(live), 10) + 1):
+        flows, full, least = attempt(size)
+        if full or least >= size * (1 - 1e-12):
+            break
+        size = least
+    return flows, size
 
 
 def sized(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -75,7 +77,10 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     spark = documents.sparkSession
     texts = staged(sized(documents, targets), "sized")
     wanted = {r["source"].strip(): (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r["source"]}  # a table of fixed size
-    patterns = [(tuple(r["pattern"]), int(r["w"])) for r in texts.groupBy("pattern").agg(F.sum("n_tokens").alias("w")).orderBy("pattern").collect()]  # sets of targeted sources
+    by_pattern = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("w")).orderBy("pattern")
+    patterns = [(tuple(r["pattern"]), int(r["w"])) for r in by_pattern.limit(PATTERNS_BOUND + 1).collect()]
+    if len(patterns) > PATTERNS_BOUND:  # ten targets have at most 1,023 sets
+        raise ValueError("more sets of sources than the flow is solved for; give fewer targets")
     flows, _ = routed(patterns, wanted, total)
     rows = []
     for p, (ss, w) in enumerate(patterns):
@@ -103,13 +108,14 @@ def levelled(used: DataFrame, texts: DataFrame, quota: dict[str, tuple[float, in
         return used
     small = F.broadcast(spark.createDataFrame([(s, float(q), c) for s, (q, c) in sorted(quota.items())], "source string, quota double, cap int"))  # the targets
     able = texts.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode("pattern").alias("source")).join(small, "source")
-    caps = able.groupBy("doc_id").agg(F.min("cap").alias("least"))
+    # joins by document are never broadcast: both sides grow with the documents
+    caps = able.groupBy("doc_id").agg(F.min("cap").alias("least")).hint("merge")
     able = staged(able.join(caps, "doc_id"), "able")
     for _ in range(rounds):
         used = staged(used, "used")
         gaps = small.join(used.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("got")), "source", "left").select("source", (F.col("quota") - F.coalesce("got", F.lit(0))).alias("gap"))
-        total = used.groupBy("doc_id").agg(F.sum("uses").alias("all_uses"))
-        d = able.join(F.broadcast(gaps), "source").join(used.select("source", "doc_id", "uses"), ["source", "doc_id"], "left").join(total, "doc_id", "left").na.fill(0, ["uses", "all_uses"])
+        total = used.groupBy("doc_id").agg(F.sum("uses").alias("all_uses")).hint("merge")
+        d = able.join(F.broadcast(gaps), "source").join(used.select("source", "doc_id", "uses").hint("merge"), ["source", "doc_id"], "left").join(total, "doc_id", "left").na.fill(0, ["uses", "all_uses"])
         step = F.when((F.col("gap") > 0) & (F.col("all_uses") < F.col("least")), 1).when((F.col("gap") < 0) & (F.col("uses") > 0), -1)
         d = d.withColumn("step", step).where("step is not null and abs(gap - step * n_tokens) < abs(gap)")
         pick = d.groupBy("source").agg(F.min_by(F.struct("doc_id", "n_tokens", "step"), F.struct(F.abs(F.col("gap") - F.col("step") * F.col("n_tokens")), "doc_id")).alias("p"))

@@ -118,3 +118,42 @@ def test_mixture_shares_caps_and_reports(spark):
     odd = t.unionByName(spark.createDataFrame([(None, 0.5, 2), ("mid2", None, None)], "source string, target_share double, max_repeats int"))
     assert {r.source for r in mixture.mixture(d, odd).collect()} == {"big", "mid", "small"}
     assert sum(r.uses * r.n_tokens for r in mixture.mixture(d, t, total=2000).collect()) <= 2000 + 200
+
+
+def test_leftover_units_go_where_they_are_lacked():
+    parts = {0: {"a": 0.9, "b": 0.6}, 1: {"a": 0.1, "b": 0.4}}
+    assert splits.rounded({0: 1, 1: 1}, 5, parts, {"a": 5.0, "b": 5.0}) == {(0, "a"): 1, (0, "b"): 0, (1, "a"): 0, (1, "b"): 1}
+    assert splits.rounded({0: 3}, 2, {0: {"a": 0.5, "b": 0.5}}, {"a": 6.0, "b": 0.0}) == {(0, "a"): 3, (0, "b"): 0}
+
+
+def test_many_kinds_of_units_are_told_apart_by_size_alone(spark, monkeypatch):
+    df = spark.createDataFrame(gold(), GOLD)
+    monkeypatch.setattr(splits, "BUNDLES_BOUND", 2)
+    got = splits.assigned(df).collect()
+    assert len({r.id for r in got}) == len(got) == 400 and len({(r.unit, r.new_split) for r in got}) == len({r.unit for r in got})
+    assert abs(sum(r.new_split == "train" for r in got) - 320) <= max(r.size for r in got)
+
+
+def test_the_largest_mixture_is_found_by_cuts():
+    random.seed(3)
+    for _ in range(60):
+        names = [f"s{i}" for i in range(random.randint(1, 4))]
+        targets = {s: (random.choice([0.0, 0.1, 0.2, 0.5]), random.randint(1, 4)) for s in names}
+        patterns = [(tuple(sorted(random.sample(names, random.randint(1, len(names))))), random.randint(0, 400)) for _ in range(random.randint(1, 5))]
+        flows, size = mixture.routed(patterns, targets)
+        live = {s for ss, w in patterns for s in ss if w and targets[s][0]}
+        scale = sum(targets[s][0] for s in live)
+        got = {s: sum(f for (_, x), f in flows.items() if x == s) for s in live}
+        assert all(abs(got[s] - size * targets[s][0] / scale) < 1e-3 for s in live)
+        if live:  # no larger one: the flow that is asked for more doesn't reach it
+            more = {s: size * 1.01 * targets[s][0] / scale for s in live}
+            f = flow.Flow()
+            for p, (ss, w) in enumerate(patterns):
+                inside = [s for s in ss if s in live]
+                if inside and w:
+                    f.edge("all", p, w * min(targets[s][1] for s in inside))
+                    for s in inside:
+                        f.edge(p, s, w * targets[s][1])
+            for s, x in more.items():
+                f.edge(s, "mix", x)
+            assert f.solve("all", "mix") < sum(more.values()) - 1e-3
