@@ -8,7 +8,7 @@ far below the threshold are dropped. The rest is checked exactly on the texts.
 With 28 bands of 3 minima a pair of similarity 0.6 is found with probability 0.999, one of 0.7 with 0.99999; the margin
 of the estimate is over four standard deviations.
 
-Buckets and classes of any size are counted before a shuffle (`with_sizes`) and joined in blocks (`pairs_within`), so that none is
+Rows of hot buckets and classes are never gathered by bucket (`with_sizes`) and are joined in blocks (`pairs_within`), so that none is
 gathered in one task. Classes are told apart by 64-bit hashes. Defined results: rows without a key are in no pair and no group; null, empty and short texts (under `least` words) are in no pair; rows
 delivered twice under one id are one row.
 """
@@ -21,7 +21,7 @@ import sys
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.blocks import mapped, mixed
@@ -36,8 +36,8 @@ MARGIN = 0.26
 HEADS_BOUND = 500_000
 #: Pairs of a cell of the exact check; their texts and word sequences are in a worker's memory at once.
 PER_CELL = 500
-#: Rows from which a bucket counts as hot.
-HOT = 10_000
+#: Rows from which a bucket counts as hot, and the share of items, one in so many, among which hot buckets are looked for.
+HOT, EVERY = 10_000, 100
 PARTS = re.compile(r"[ \t\r\n]+")
 _random = np.random.default_rng(20240607)
 A = _random.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -106,29 +106,32 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((~differ).mean(axis=1) - c) / (1 - c)
 
 
-def with_sizes(df: DataFrame, bucket: str, bound: int = HEADS_BOUND, hot: int = HOT) -> DataFrame:
+def with_sizes(df: DataFrame, bucket: str, item: str, hot: int = HOT, every: int = EVERY, bound: int = HEADS_BOUND) -> DataFrame:
     """df with `n`, the rows of its bucket, without the rows that are alone in theirs.
 
-    Sizes are counted before the shuffle and joined to the rows, so no task sees a whole bucket: few sizes are broadcast; of
-    many, those of buckets over `hot` rows are (at most one in `hot` rows) and only the rows of the others are shuffled by bucket.
+    Hot buckets are looked for among the items of one hash in `every`, and only decide the way: their rows stay where they are
+    and get sizes that were counted before a shuffle and are broadcast; the rows of the others are shuffled by bucket once.
     """
-    sizes = staged(df.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    if sizes.limit(bound + 1).count() <= bound:
-        return df.join(F.broadcast(sizes), bucket)  # checked
-    large = sizes.where(F.col("n") > hot)
-    if large.limit(bound + 1).count() > bound:
-        return df.join(sizes, bucket)  # so many hot buckets that each is small beside the whole
-    rest = df.join(F.broadcast(large.select(bucket)), bucket, "left_anti").join(sizes.where(F.col("n") <= hot).hint("merge"), bucket)
-    return df.join(F.broadcast(large), bucket).unionByName(rest)
-
-
-def pairs_within(df: DataFrame, bucket: str, item: str, block: int = 256, bound: int = HEADS_BOUND, hot: int = HOT) -> DataFrame:
+    seen = df.where(F.pmod(F.xxhash64(F.col(item), F.lit(77)), F.lit(every)) == 0).groupBy(bucket).agg(F.count("*").alias("n"))
+    large = staged(seen.where(F.col("n") >= max(1, hot // every // 2)).select(bucket), "hot")
+    n = large.limit(bound + 1).count()
+    if n > bound:
+        return df.join(df.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1"), bucket)  # so many that each is small beside the whole
+    rest = df if not n else df.join(F.broadcast(large), bucket, "left_anti")  # checked, as below
+    counted = rest.withColumn("n", F.count("*").over(Window.partitionBy(bucket))).where("n > 1")
+    if not n:
+        return counted
+    sizes = df.join(F.broadcast(large), bucket, "left_semi").groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1")
+    return counted.unionByName(df.join(F.broadcast(sizes), bucket).select(*counted.columns))
+
+
+def pairs_within(df: DataFrame, bucket: str, item: str, block: int = 256, hot: int = HOT, every: int = EVERY, bound: int = HEADS_BOUND) -> DataFrame:
     """(a, b), a < b: items that share a bucket, each pair once per bucket.
 
     A bucket is cut into blocks of about `block` items by hash, and each item meets the blocks not before its own, so a
     bucket of m items is spread over (m / block)^2 / 2 keys, whatever m is.
     """
-    many = with_sizes(df.select(bucket, item), bucket, bound, hot).withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
+    many = with_sizes(df.select(bucket, item), bucket, item, hot, every, bound).withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int")
     many = many.withColumn("_own", own)
     left = many.select(bucket, F.col(item).alias("a"), F.col("_own").alias("_x"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_y"))
@@ -169,7 +172,7 @@ def candidates(s: DataFrame, threshold: float, few: int = 64) -> DataFrame:
     # equal in a class; a class of any size is one row before the bands are spread
     classes = staged(s.groupBy("class").agg(F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
     bands = classes.select(F.explode(F.array_distinct("bands")).alias("band"), "class")
-    shared = staged(with_sizes(bands, "band"), "shared")
+    shared = staged(with_sizes(bands, "band", "class"), "shared")
     small = shared.where(F.col("n") <= few)
     pairs = small.select("band", F.col("class").alias("a")).join(small.select("band", F.col("class").alias("b")), "band").where("a < b").select("a", "b").distinct()
     low = classes.select("class", "low")

@@ -96,6 +96,6 @@ def test_a_bucket_of_a_third_of_all_rows_with_every_way_of_counting(spark):
     rows = [(i if i % 3 else 0, i) for i in range(900)]
     df = spark.createDataFrame(rows, "bucket bigint, item bigint").selectExpr("*", "'x' AS n", "1 AS _blocks")
     want = {(a, b) for a in range(0, 900, 3) for b in range(a + 3, 900, 3)}
-    for bound, hot in ((10, 10), (0, 10_000), (1, 100), (0, 2)):
-        got = [(r.a, r.b) for r in neardup.pairs_within(df, "bucket", "item", 64, bound, hot).collect()]
+    for hot, every, bound in ((10_000, 100, 10), (20, 1, 10), (100, 10, 10), (2, 1, 0)):
+        got = [(r.a, r.b) for r in neardup.pairs_within(df, "bucket", "item", 64, hot, every, bound).collect()]
         assert len(got) == len(want) and set(got) == want
