@@ -9,8 +9,9 @@
 3. Paragraph boundaries between the lines are chosen by dynamic programming: a paragraph costs something, more if it
    doesn't end as a sentence, and lines inside it cost what speaks for a boundary before them.
 
-Word frequencies are counted over all texts, but for the tokens that a line end cuts and the lines taken out. They are broadcast
-only up to WORDS_BOUND words; above it each text gets the counts of its own words and their readings by a join (`joined`).
+Word frequencies are counted over all texts, but for the tokens that a line end cuts and the lines taken out. The WORDS_BOUND
+commonest words are broadcast with their counts, of the others a filter of fixed size is; what the filter holds of a text's words,
+joins and readings is asked by a join (`asked`), so the same counts decide whatever the bounds.
 
 Defined results: null, empty and blank texts, and those of other text sources, give no row; a text without page numbers
 (null page_start and page_end) has no unusable page; repeated pages count once.
@@ -25,22 +26,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.blocks import types_of
+from folioscope.session import staged
 
-WORDS_BOUND = 300_000
+#: Words that are broadcast with their counts, the commonest; and bits of the filter of the others (16 MB).
+WORDS_BOUND, FILTER_BITS = 300_000, 1 << 27
 #: Shapes that scanning takes for each other: seen -> meant.
 CONFUSIONS = {
     "rn": ["m"], "ri": ["n"], "ii": ["u"], "cl": ["d"], "vv": ["w"], "nn": ["m"], "c": ["e"], "1": ["l", "i"], "0": ["o"], "9": ["g"], "!": ["i", "l"], "5": ["s"],
     "lt": ["tt"], "@": ["a"], "(": ["c"], "b": ["h"], "h": ["b"], "8": ["b"], "6": ["b"], "|": ["l", "i"], "$": ["s"], "3": ["e"], "4": ["a"], "7": ["t"], "2": ["z"], "q": ["g"], "li": ["h"], "tl": ["d"], "m": ["rn"], "£": ["e"], "e": ["c"], "€": ["e"],
 }
+#: Longer strings are addresses and codes and aren't read; no word of the 3,833 counted ones has over 60 letters. A word has at
+#: most so many readings tried; the most that a counted word has is 177.
+LONGEST, READINGS = 60, 4000
 #: A reading must be so many times commoner than what is seen.
 RATIO = 20
 CUT = "-¬\xad‐‑=­⸗"
-#: A line end that may part a word or a sentence.
-BROKEN = r"[\p{L}\p{M},\-¬\xad‐‑=­⸗]\s*\n"
 PUNCTUATION = ".,;:?!…“”\"'’‘()[]{}«»<>।॥۔؟。，；：？！（）—–*~^|¦_•·°"
 TRIM = PUNCTUATION.replace("!", "").replace("(", "").replace("|", "")
 WORDLIKE = re.compile(r"[^\W\d_]")
@@ -48,6 +53,7 @@ MIXED = re.compile(r"[A-Za-zÀ-ÿ][015983467@!$|][A-Za-zÀ-ÿ]|[A-Za-zÀ-ÿ]{2}[
 PLAIN = re.compile(r"[^\W\d_]+(?:[’'\-–][^\W\d_]+)*\Z")
 ADDRESS = re.compile(r"[/\\]|\w\.\w{2,}|@\w+\.|^\w{1,2}\.|\d[,.]\d|^[A-Z]{1,4}\d+$|^\W*\d")
 #: Marks that dust leaves, alone or at a word.
+DUST = "~^|¦"
 SPECKS = re.compile(r"^[~^|¦]+|[~^|¦]+$")
 LABEL = re.compile(r"\s*(?:\(?(?:\d{1,4}|[a-zA-Z]|[ivxlc]{1,6})[.)]|[-•*#]+|§)\s")
 STOP = re.compile(r"[.!?।॥۔؟。！？:—][\"”’»)\]“]*\s*(?:\[S\d+\]\s*)*\Z")
@@ -104,6 +110,8 @@ class Reader:
         self.count = (lambda w: counts.get(w, 0)) if isinstance(counts, dict) else counts
         self.readings: dict[str, str | None] = {}
         self.fine: dict[str, bool] = {}
+        self.seen: dict[str, bool] = {}
+        self.strange: dict[str, bool] = {}
 
     def read(self, word: str) -> str | None:
         """What a misread word stands for; None if it is fine or nothing known comes near it."""
@@ -130,6 +138,15 @@ class Reader:
             known = self.fine[token] = self._ok(token)
         return known
 
+    def doubtful(self, token: str) -> bool:
+        """Whether a token must be decoded: it isn't fine, or may lack a blank or have one too many."""
+        known = self.seen.get(token)
+        if known is None:
+            if len(self.seen) > 400_000:
+                self.seen.clear()
+            known = self.seen[token] = not self.ok(token) or self.unknown(token)
+        return known
+
     def _ok(self, token: str) -> bool:
         w = token.strip(PUNCTUATION)
         if not w or not WORDLIKE.search(w):
@@ -145,7 +162,7 @@ class Reader:
         """The token as meant, if scanning changed it."""
         for cut in (PUNCTUATION, TRIM):
             w = token.strip(cut)
-            if not w or not WORDLIKE.search(w) or len(w) < 3 or len(w) > 60 or ADDRESS.search(w):
+            if not w or not WORDLIKE.search(w) or not 3 <= len(w) <= LONGEST or ADDRESS.search(w):
                 continue
             core, tail = (w[:-2], w[-2:]) if w.lower().endswith(("’s", "'s")) else (w, "")
             parts = re.split(r"([-–])", core)
@@ -162,14 +179,25 @@ class Reader:
             return False
         return not re.search(r"[!|][A-ZÀ-Þ]|\d{2}|[A-Z]\d", w) and len(WORDLIKE.findall(w)) >= 4
 
+    def stranger(self, token: str) -> bool:
+        """`odd`, kept by token."""
+        if len(self.strange) > 400_000:
+            self.strange.clear()
+        out = self.strange[token] = not token.isalpha() and self.odd(token)
+        return out
+
     def unknown(self, token: str) -> bool:
         """A plain word that the corpus doesn't have, maybe two that run together or a part of one."""
         w = token.strip(PUNCTUATION)
         return w.isalpha() and w.islower() and not self.count(w)
 
     def cost(self, word: str) -> float:
-        w = word.strip(PUNCTUATION).lower()
+        """By the word's count; by its rarest part, if it is a compound that isn't counted itself."""
+        w = word.strip(PUNCTUATION).lower().removesuffix("’s").removesuffix("'s")
         n = self.count(w) if w else 1000
+        parts = re.split(r"[-–]", w)
+        if not n and len(parts) > 1:
+            return max(self.cost(p) for p in parts)
         return 18 - math.log(n) if n else 16.0 + 2.0 * len(w)
 
     def path(self, tokens: list[str], breaks: list[str]) -> list[tuple[str, str, int]]:
@@ -189,7 +217,7 @@ class Reader:
                     offer(i, i + 1, self.cost(meant) + 3, ("chars", meant, 1))
             if self.unknown(t):
                 w = t.strip(PUNCTUATION)
-                for k in range(2, len(w) - 1):
+                for k in range(2, len(w) - 1 if len(w) <= 2 * LONGEST else 0):
                     if self.count(w[:k]) > 2 and self.count(w[k:]) > 2:
                         offer(i, i + 1, self.cost(w[:k]) + self.cost(w[k:]) + 6, ("split", t.replace(w, f"{w[:k]} {w[k:]}", 1), 1))
             if i + 1 < n:
@@ -207,9 +235,7 @@ class Reader:
 
     def joins(self, left: str, mark: str, right: str) -> list[tuple[str, float, str]]:
         """Ways of joining what a line end parts: one word, or a compound that keeps its hyphen."""
-        head, tail = left.lstrip(PUNCTUATION), right.strip(PUNCTUATION)
-        m = re.match(r"[^\W\d_]+|\w+", tail)
-        tail = m[0] if m else tail
+        head, tail = halves(left, right)
         whole, compound = (head + tail).lower(), f"{head}-{tail}".lower()
         last = whole.rsplit("-", 1)[-1].rsplit("–", 1)[-1]
         joined = self.count(whole) or (self.count(last) if last != whole else 0)
@@ -228,11 +254,18 @@ class Reader:
         return [("hyphen", -5.0, left + right)]
 
 
+def halves(left: str, right: str) -> tuple[str, str]:
+    """The letters on both sides of a cut."""
+    head, tail = left.lstrip(PUNCTUATION), right.strip(PUNCTUATION)
+    m = re.match(r"[^\W\d_]+|\w+", tail)
+    return head, m[0] if m else tail
+
+
 def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def variants(word: str, steps: int = 3, most: int = 4000) -> Iterator[tuple[str, int]]:
+def variants(word: str, steps: int = 3, most: int = READINGS) -> Iterator[tuple[str, int]]:
     """Readings of a word through up to `steps` confusions (all of them while there are fewer than `most`)."""
     seen, layer = {word}, [word]
     for step in range(1, steps + 1):
@@ -256,7 +289,8 @@ def paragraphs(lines: list[str]) -> list[tuple[int, int]]:
     n = len(lines)
     if not n:
         return []
-    width = float(np.median([len(x) for x in lines]))
+    sizes = sorted(map(len, lines))
+    width = (sizes[n // 2] + sizes[(n - 1) // 2]) / 2
     inside, ends = [0.0], []
     for i, x in enumerate(lines):
         stop = bool(STOP.search(x))
@@ -311,16 +345,18 @@ def stream(lines: list[str]) -> tuple[list[str], list[str], list[int]]:
     return tokens, breaks, starts
 
 
-def decode(text: str, title: str | None, reader: Reader, repair: bool = False) -> tuple[set[str], list[str]]:
-    """(defects, paragraphs); paragraphs only with `repair`."""
+def decode(text: str, title: str | None, reader: Reader) -> tuple[set[str], list[str]]:
+    """(defects, paragraphs)."""
     found, lines = delined(text, title)
     tokens, breaks, starts = stream(lines)
-    ok = reader.ok
-    # runs of words that must be decoded; words that only lack a blank, or have one too many, matter to the repair alone
-    odd = (lambda t: not ok(t) or reader.unknown(t)) if repair else (lambda t: not ok(t))
-    doubtful = [i for i, t in enumerate(tokens) if breaks[i] or odd(t)]
-    if any(not breaks[i] and not (i and breaks[i - 1]) and reader.odd(tokens[i]) for i in range(len(tokens)) if not tokens[i].isalpha()):
-        found.add("chars")
+    # runs of words that must be decoded
+    odd, seen = reader.doubtful, reader.seen
+    doubtful = [i for i, t in enumerate(tokens) if breaks[i] or (seen[t] if t in seen else odd(t))]
+    strange = reader.strange
+    for i, t in enumerate(tokens):
+        if (strange[t] if t in strange else reader.stranger(t)) and not breaks[i] and not (i and breaks[i - 1]):
+            found.add("chars")
+            break
     read: dict[int, tuple[str, int]] = {}
     done = -1
     for i in doubtful:
@@ -336,44 +372,47 @@ def decode(text: str, title: str | None, reader: Reader, repair: bool = False) -
                 read[at] = (word, used)
             at += used
         done = j
-    if not repair:
-        return found, []
-    out = []
+    out, dusty = [], any(c in text for c in DUST)
     for a, b in paragraphs(lines):
         lo, hi = starts[a], starts[b] if b < len(lines) else len(tokens)
         words, i = [], lo
+        if not read and not dusty:
+            if lo < hi:
+                out.append(" ".join(tokens[lo:hi]))
+            continue
         while i < hi:
             word, used = read.get(i, (tokens[i], 1))
             words.append(word)
             i += used
         if words:
-            out.append(" ".join(w for x in words if (w := SPECKS.sub("", x))))
+            out.append(" ".join(w for x in words if (w := SPECKS.sub("", x) if x[0] in DUST or x[-1] in DUST else x)))
     return found, out
 
 
 def words(chunks: DataFrame, text: str = "text", least: int = 3, title: str = "title") -> DataFrame:
     """(word, n): lower-cased words of all texts, those seen at least `least` times.
 
-    Texts whose lines may part words or sentences are de-lined as `decode` does it: headers, page numbers and the tokens on
-    both sides of a cut word don't count.
+    Texts of several lines are de-lined as `decode` does it: headers, page numbers and the tokens on both sides of a cut word
+    don't count.
     """
-    t = F.col(text)
-    broken = t.rlike(BROKEN)
-    whole = chunks.where(t.isNotNull() & ~broken).select(F.explode(F.split(F.lower(t), r"[\s]+")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            t = b.column(0)
+            lined = pc.match_substring(t, "\n")
+            plain = pc.value_counts(pc.list_flatten(pc.ascii_split_whitespace(pc.utf8_lower(t.filter(pc.invert(lined))))))
             seen: Counter[str] = Counter()
-            for x, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for x, name in zip(t.filter(lined).to_pylist(), b.column(1).filter(lined).to_pylist(), strict=True):
                 tokens, breaks, _ = stream(delined(x, name)[1])
                 seen.update(w for w, cut, before in zip(tokens, breaks, ["", *breaks], strict=False) if not cut and not before)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+            names = pa.concat_arrays([plain.field(0).cast(pa.string()), pc.utf8_lower(pa.array(list(seen), pa.string()))])
+            yield pa.RecordBatch.from_arrays([names, pa.concat_arrays([plain.field(1), pa.array(list(seen.values()), pa.int64())])], ["token", "n"])
 
-    lined = chunks.where(broken).select(t, F.col(title).cast("string")).mapInArrow(tally, "token string, n bigint")
-    counted = whole.unionByName(lined.select(F.lower("token").alias("token"), "n")).groupBy("token").agg(F.sum("n").alias("n"))
+    rows = chunks.where(F.col(text).isNotNull()).select(text, F.col(title).cast("string"))
+    counted = rows.mapInArrow(tally, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     bare = F.regexp_replace("token", r"^[^\p{L}]+|[^\p{L}\p{M}]+$", "")
     bare = F.regexp_replace(bare, r"['’]s$", "")
-    return counted.select(bare.alias("word"), "n").where("word rlike '^[\\\\p{L}\\\\p{M}’\\'–-]{1,40}$'").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return counted.select(bare.alias("word"), "n").where("word rlike '^[\\\\p{L}\\\\p{M}’\\'–-]+$'").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def usable(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -387,68 +426,145 @@ def _scanned(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("text_source").isin("layer", "ocr") & F.col("text").isNotNull()).select("rowid", "doc_id", "page_start", "page_end", F.struct("title", "text").alias("both"))
 
 
-def _known(chunks: DataFrame, bound: int) -> tuple[dict[str, int] | None, DataFrame]:
-    from folioscope.session import staged
+class Lexicon:
+    """What the workers know of the corpus's words: the commonest with their counts, and which others may be counted at all.
+
+    The others are in a filter of a fixed number of bits: what it doesn't hold isn't counted, what it holds is asked by a join,
+    so that its size decides how much is asked and never what comes out.
+    """
+
+    def __init__(self, common: dict[str, int], bits: np.ndarray | None):
+        self.common, self.bits = common, bits
+        self.of_word: dict[str, tuple[str, ...]] = {}
+        self.of_token: dict[str, tuple[str, ...]] = {}
+
+    def open(self, w: str) -> bool:
+        """Whether the count of w must be asked."""
+        if w in self.common or self.bits is None:
+            return False
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42)
+        p, q = h & FILTER_BITS - 1, h >> 32 & FILTER_BITS - 1
+        return bool(int(self.bits[p >> 6]) >> (p & 63) & int(self.bits[q >> 6]) >> (q & 63) & 1)
+
+    def asks_of_word(self, w: str) -> tuple[str, ...]:
+        """Counts that reading w needs: its own and those of its readings."""
+        got = self.of_word.get(w)
+        if got is None:
+            if len(self.of_word) > 200_000:
+                self.of_word.clear()
+            got = self.of_word[w] = tuple(v for v in (w, *(x for x, _ in variants(w))) if self.open(v))
+        return got
+
+    def asks_of_token(self, token: str) -> tuple[str, ...]:
+        """Counts that a token needs by itself: of its parts as they are read, and of its halves if it may be unknown."""
+        got = self.of_token.get(token)
+        if got is None:
+            if len(self.of_token) > 400_000:
+                self.of_token.clear()
+            mine: dict[str, None] = {}
+            for w in {token.lower(), token.strip(PUNCTUATION).lower(), token.strip(TRIM).lower()}:
+                for whole in {w, w.removesuffix("’s").removesuffix("'s")}:
+                    for p in {whole, *re.split(r"[-–]", whole)}:
+                        if p:
+                            mine |= dict.fromkeys(self.asks_of_word(p))
+                if w.isalpha() and w not in self.common and len(w) <= 2 * LONGEST:
+                    mine |= dict.fromkeys(x for k in range(2, len(w) - 1) for x in (w[:k], w[k:]) if self.open(x))
+            got = self.of_token[token] = tuple(mine)
+        return got
+
+    def asks_of_text(self, text: str, title: str | None) -> set[str]:
+        """Every word whose count a Reader may want for the text, from the stream of tokens that `decode` reads."""
+        tokens, breaks, _ = stream(delined(text, title)[1])
+        mine: set[str] = set()
+        for t in set(tokens):
+            mine.update(self.asks_of_token(t))
+        for t, cut, u in zip(tokens, breaks, tokens[1:], strict=False):
+            if cut:
+                head, tail = halves(t[:-1], u)
+                for x in (head + tail, f"{head}-{tail}", head, tail):
+                    mine.update(self.asks_of_token(x))
+            elif t.isalpha() and t not in self.common and (u := u.rstrip(PUNCTUATION)) not in self.common and self.open(t + u):
+                mine.add(t + u)
+        return mine
+
+
+class Aware(Reader):
+    """A Reader that also knows the counts that were asked for one text; what these don't touch is read by the shared one."""
+
+    def __init__(self, shared: Reader, lexicon: Lexicon, found: dict[str, int]):
+        super().__init__(lambda w: found.get(w) or shared.count(w))
+        self.shared, self.lexicon, self.found = shared, lexicon, found
+
+    def read(self, word: str) -> str | None:
+        touched = any(w in self.found for w in self.lexicon.asks_of_word(word.lower()))
+        return super().read(word) if touched else self.shared.read(word)
 
-    w = staged(words(chunks), "words")
-    few = w.limit(bound + 1).count() <= bound
-    return ({r["word"]: r["n"] for r in w.toLocalIterator()} if few else None), w
+    def ok(self, token: str) -> bool:
+        return super().ok(token) if self.touched(token) else self.shared.ok(token)
+
+    def doubtful(self, token: str) -> bool:
+        return super().doubtful(token) if self.touched(token) else self.shared.doubtful(token)
+
+    def touched(self, token: str) -> bool:
+        return any(w in self.found for w in self.lexicon.asks_of_token(token))
+
+
+def lexicon_of(table: DataFrame, bound: int) -> tuple[Lexicon, DataFrame | None]:
+    """(what is broadcast, the words beyond it) of a table (word, n): its `bound` commonest words, and a filter of the others."""
+    first = table.orderBy(F.desc("n"), "word").limit(bound).toArrow().to_pydict() if bound else {"word": [], "n": []}
+    common = dict(zip(first["word"], first["n"], strict=True))
+    if bound and len(common) < bound:
+        return Lexicon(common, None), None
+    rest = table
+    if common:
+        least = min(common.values())
+        last = max((w for w, n in common.items() if n == least), key=str.encode)  # as Spark orders strings
+        rest = table.where((F.col("n") < least) | (F.col("n") == least) & (F.col("word") > last))
+    h = F.xxhash64("word")
+    at = rest.select(F.explode(F.array(h.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(FILTER_BITS - 1)))).alias("p"))
+    cells = at.groupBy(F.shiftright("p", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toArrow()  # at most FILTER_BITS / 64
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[cells.column("cell").to_numpy()] = cells.column("x").to_numpy()
+    return Lexicon(common, bits.view(np.uint64)), rest
 
 
 def _decoded(chunks: DataFrame, bound: int, added: str, fn: Callable[[list, Callable[[int], Reader]], object]) -> DataFrame:
-    """Runs fn over scanned rows with a reader of the corpus's words, broadcast or, above the bound, joined by row."""
-    counts, table = _known(chunks, bound)
+    """Runs fn over scanned rows with a reader of the corpus's words."""
+    lexicon, rest = lexicon_of(staged(words(chunks), "words"), bound)
     rows, keep = _scanned(chunks), ["rowid", "doc_id", "page_start", "page_end"]
-    if counts is not None:
-        shared = chunks.sparkSession.sparkContext.broadcast(counts)  # at most `bound` words
-        readers: dict[int, Reader] = {}
-
-        def run(both: list) -> object:
-            reader = readers.setdefault(0, None) or readers.__setitem__(0, Reader(shared.value)) or readers[0]
-            return fn([x or {"title": None, "text": ""} for x in both], lambda i: reader)
-
-        return mapped_structs(rows, keep, added, run)
-    own = joined(rows, table)
-
-    def alone(both: list) -> object:
-        return fn(both, lambda i: Reader({x["word"]: x["n"] for x in both[i]["words"] or []}))
-
-    return mapped_structs(own, keep, added, alone)
-
-
-def asks_of(text: str, title: str | None) -> set[str]:
-    """Every word whose count a Reader may want for the text, from the stream of tokens that `decode` reads."""
-    tokens, breaks, _ = stream(delined(text, title)[1])
-    forms, mine = set(tokens), set()
-    for t, cut, u in zip(tokens, breaks, tokens[1:], strict=False):
-        if cut:
-            head, tail = t[:-1].lstrip(PUNCTUATION), u.strip(PUNCTUATION)
-            m = re.match(r"[^\W\d_]+|\w+", tail)
-            tail = m[0] if m else tail
-            forms |= {head + tail, f"{head}-{tail}", head, tail}
-        elif t.isalpha():
-            mine.add(t + u.rstrip(PUNCTUATION))
-    for token in forms:
-        for w in {token.lower(), token.strip(PUNCTUATION).lower(), token.strip(TRIM).lower()}:
-            for p in {w, w.removesuffix("’s").removesuffix("'s"), *re.split(r"[-–]", w), *re.split(r"[-–]", w.removesuffix("’s").removesuffix("'s"))}:
-                if p and len(p) <= 60:
-                    mine |= {p, *(v for v, _ in variants(p))}
-            for k in range(2, len(w) - 1):
-                mine |= {w[:k], w[k:]}
-    return mine
-
-
-def joined(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows whose struct also holds the counts of its own words, joins and readings: the way without a broadcast."""
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared = chunks.sparkSession.sparkContext.broadcast(lexicon)  # at most `bound` words and FILTER_BITS bits
+    own: list[Reader] = []
+
+    def run(both: list) -> object:
+        if not own:
+            own.append(Reader(shared.value.common))
+        both = [x or {"title": None, "text": ""} for x in both]
+
+        def reader(i: int) -> Reader:
+            found = {x["word"]: x["n"] for x in both[i].get("words") or []}
+            return Aware(own[0], shared.value, found) if found else own[0]
+
+        return fn(both, reader)
+
+    return mapped_structs(rows if rest is None else asked(rows, rest, shared), keep, added, run)
+
+
+def asked(rows: DataFrame, rest: DataFrame, lexicon) -> DataFrame:
+    """rows whose struct also holds the counts of the words that the lexicon can't tell."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ids, got = [], []
             for rowid, both in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mine = asks_of(both["text"] or "", both["title"])
-                yield pa.RecordBatch.from_arrays([pa.array([rowid] * len(mine), pa.int64()), pa.array(list(mine), pa.string())], ["rowid", "word"])
+                mine = lexicon.value.asks_of_text(both["text"] or "", both["title"])
+                ids += [rowid] * len(mine)
+                got += mine
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got, pa.string())], ["rowid", "word"])
 
-    asks = rows.select(F.col("rowid").cast("bigint"), "both").mapInArrow(asked, "rowid bigint, word string")
-    got = asks.join(table, "word").groupBy("rowid").agg(F.collect_list(F.struct("word", "n")).alias("words"))  # bounded by the text
+    asks = rows.select(F.col("rowid").cast("bigint"), "both").mapInArrow(ask, "rowid bigint, word string")
+    got = asks.join(rest, "word").groupBy("rowid").agg(F.collect_set(F.struct("word", "n")).alias("words"))  # bounded by the text
     both = rows.join(got, "rowid", "left")
     return both.select("rowid", "doc_id", "page_start", "page_end", F.struct("both.title", "both.text", "words").alias("both"))
 
@@ -488,7 +604,7 @@ def repaired(chunks: DataFrame, pages: DataFrame, bound: int = WORDS_BOUND) -> D
     def run(both: list, reader: Callable[[int], Reader]) -> tuple[np.ndarray, list[pa.Array]]:
         rows, k, out = [], [], []
         for i, x in enumerate(both):
-            for j, p in enumerate(decode(x["text"] or "", x["title"], reader(i), True)[1]):
+            for j, p in enumerate(decode(x["text"] or "", x["title"], reader(i))[1]):
                 rows.append(i)
                 k.append(j + 1)
                 out.append(p)

@@ -30,7 +30,7 @@ def test_each_defect_alone():
 def test_repair_reads_confusions_hyphens_splits_and_merges():
     r = reader()
     text = "the sea-\nLOWWHARF TRUSTS ACT, 1944\nvii\nsonal^ po1icy | withheld anyaggrieved tannery un der long-\nstanding review."
-    _, paras = scans.decode(text, "Lowwharf Trusts Act, 1944", r, True)
+    _, paras = scans.decode(text, "Lowwharf Trusts Act, 1944", r)
     assert paras == ["the seasonal policy withheld any aggrieved tannery under long-standing review."]
 
 
@@ -57,7 +57,7 @@ def tables(spark):
 def test_defects_with_words_broadcast_or_joined(spark):
     chunks, pages = tables(spark)
     want = {(1, "hyphen"), (3, "chars"), (8, "pageno")}
-    for bound in (scans.WORDS_BOUND, 0):
+    for bound in (scans.WORDS_BOUND, 12, 0):
         got = scans.defects(chunks, pages, bound).collect()
         assert len(got) == len(want) and {(r.rowid, r.defect) for r in got} == want
     assert scans.defects(chunks.limit(0), pages).count() == 0
@@ -77,11 +77,11 @@ def test_words_of_texts_with_broken_lines_count(spark):
 
 def test_misread_forms_that_are_counted_are_still_read():
     r = scans.Reader(COUNTS | {"surveyor": 900, "siirveyor": 4, "salvag": 4})
-    assert scans.decode("the siirvey-\nor of siirveyor", "T", r, True) == ({"chars", "hyphen"}, ["the surveyor of surveyor"])
+    assert scans.decode("the siirvey-\nor of siirveyor", "T", r) == ({"chars", "hyphen"}, ["the surveyor of surveyor"])
     r = scans.Reader({"délai": 900, "déla": 4})
-    assert scans.decode("déla! délai", "T", r, True)[1] == ["délai délai"]
+    assert scans.decode("déla! délai", "T", r)[1] == ["délai délai"]
     r = scans.Reader({"model": 900, "mode": 400})
-    assert scans.decode("mode! model", "T", r, True)[1] == ["mode! model"]
+    assert scans.decode("mode! model", "T", r)[1] == ["mode! model"]
 
 
 def test_repaired_with_words_broadcast_or_joined(spark):
@@ -89,5 +89,5 @@ def test_repaired_with_words_broadcast_or_joined(spark):
     hard = ["withheld un der review", "the sea-\n12\nsonal anyaggrieved ow¬\nLOWWHARF TRUSTS ACT, 1944\nner po1icy", "the pcrma-\nvii\nnent long-\n- 3 -\nstanding vice-\nchairman’s clcrk's a"]
     more = chunks.sparkSession.createDataFrame([(20 + i, 9, "Lowwharf Trusts Act, 1944", t, "ocr", 1, 1) for i, t in enumerate(hard)], CHUNKS)
     chunks = chunks.drop("word", "n").unionByName(more)
-    a, b = (sorted(map(tuple, scans.repaired(chunks, pages, bound).collect())) for bound in (scans.WORDS_BOUND, 0))
-    assert a == b and (20, 1, "withheld under review") in b and any(r == 21 and x.startswith("the seasonal any aggrieved") for r, _, x in b)
+    a, b, c = (sorted(map(tuple, scans.repaired(chunks, pages, bound).collect())) for bound in (scans.WORDS_BOUND, 0, 12))
+    assert a == b == c and (20, 1, "withheld under review") in b and any(r == 21 and x.startswith("the seasonal any aggrieved") for r, _, x in b)
