@@ -1,6 +1,7 @@
 """Problem 1: processing only what is new or changed.
 
-Records are spread over a fixed number of partitions by the hash of their key. A partition's fingerprint is its number of
+Records are spread over partitions by the hash of their key; their number is a power of two that follows the size of the
+inputs, so that a partition holds about LEAF_ROWS rows of them at any size, and a delta remakes the partitions it touches and no more. A partition's fingerprint is its number of
 rows and the sum of the rows' hashes, of every input; being additive, it is one partial aggregation over the inputs, and
 doesn't depend on the order of rows. A run compares the fingerprints with those stored beside the results, recomputes only
 the partitions that differ, and puts each in the place of the old one by dynamic partition overwrite.
@@ -12,6 +13,8 @@ current. No partition is left out or done twice, whenever a run ends.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +22,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARTITIONS = 64
-#: Counts up when the rules of due_documents change, so that results made by older ones are made again.
-RULES = 1
+#: Rows of the inputs that a partition holds, about 256 MB of the columns that are read.
+LEAF_ROWS = 1_000_000
+#: Result rows that one task writes.
+WRITTEN = 500_000
+
+
+def leaves(rows: int, held: int | None = None, least: int = PARTITIONS, leaf: int | None = None) -> int:
+    """Partitions for inputs of so many rows. A held number stays while partitions have between a quarter and twice what they should."""
+    leaf = leaf or LEAF_ROWS
+    if held and (rows <= 2 * held * leaf and (4 * rows >= held * leaf or held == least)):
+        return held
+    n = least
+    while n * leaf < rows:
+        n *= 2
+    return n
 
 
 def partition_of(key: Column, partitions: int = PARTITIONS) -> Column:
@@ -49,12 +65,46 @@ class PartitionedState:
     """Results by partition in a folder all executors share, with the fingerprint each was made from."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.root, self.path = spark, path, path
+        if held := self.held():
+            self.path = f"{path}/leaves={held}"
 
-    def _exists(self) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _names(self, path: str) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(p) and any(s.getPath().getName().startswith("part=") for s in fs.listStatus(p))
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def held(self) -> int | None:
+        """The number of partitions that the stored results have: of the layout that was completed last."""
+        done = [n for n in self._names(self.root) if n.startswith("leaves=") and "_COMPLETE" in self._names(f"{self.root}/{n}")]
+        fs, _ = self._file("")
+        last = max(done, key=lambda n: fs.getFileStatus(self._file(f"{n}/_COMPLETE")[1]).getModificationTime(), default=None)
+        return last and int(last.removeprefix("leaves="))
+
+    def _file(self, name: str) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def complete(self, partitions: int) -> None:
+        """Marks a layout as the one that holds; layouts left before the last change go."""
+        before = self.held()
+        if before == partitions:
+            for n in self._names(self.root):
+                if n.startswith("leaves=") and n != f"leaves={partitions}":
+                    fs, p = self._file(n)
+                    fs.delete(p, True)
+            return
+        fs, p = self._file(f"leaves={partitions}/_COMPLETE")
+        fs.create(p, True).close()
+
+    def laid_out(self, partitions: int) -> PartitionedState:
+        """The state in so many partitions; another number than is held is made from nothing, beside what is held."""
+        out = PartitionedState(self.spark, self.root)
+        out.path = f"{self.root}/leaves={partitions}"
+        return out
+
+    def _exists(self) -> bool:
+        return any(n.startswith("part=") for n in self._names(self.path))
 
     def read(self, schema: T.StructType) -> DataFrame:
         full = T.StructType([*schema.fields, T.StructField("fingerprint", T.StringType()), T.StructField("marker", T.BooleanType()), T.StructField("part", T.IntegerType())])
@@ -75,7 +125,10 @@ class PartitionedState:
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
         marks = due.select(*empty, "fingerprint", F.lit(True).alias("marker"), "part")  # also replaces partitions without results
         out = made.select(*marks.columns).unionByName(marks)
-        out.repartition(F.col("part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
+        # a partition is written by as many tasks as it has rows for; without many rows, by one
+        tasks = max(1, -(-made.count() // WRITTEN // len(parts))) if len(parts) < 64 else 1
+        way = [F.col("part")] if tasks == 1 else [F.col("part"), F.pmod(F.xxhash64(*schema.names), F.lit(tasks))]
+        out.repartition(*way).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
         return [p for p, _ in parts]
 
     def results(self, schema: T.StructType) -> DataFrame:
@@ -118,8 +171,23 @@ def due_documents(manifest: DataFrame, documents: DataFrame, parser_versions: Da
     return worst.select("source_url", F.element_at(names, F.col("state")).alias("reason"))
 
 
-def indexing_run(state: PartitionedState, manifest: DataFrame, documents: DataFrame, parser_versions: DataFrame, partitions: int = PARTITIONS) -> list[int]:
-    """Names what is due in the partitions whose ledger rows, documents or parser versions changed; returns these."""
+def rules() -> str:
+    """A hash of the code that decides what is due, so that results made by other code are made again."""
+    code = "".join(inspect.getsource(f) for f in (digest, current_versions, due_documents, partition_of, row_hash))
+    return hashlib.sha256(code.encode()).hexdigest()[:16]
+
+
+RULES = rules()
+
+
+def indexing_run(state: PartitionedState, manifest: DataFrame, documents: DataFrame, parser_versions: DataFrame, partitions: int | None = None) -> list[int]:
+    """Names what is due in the partitions whose ledger rows, documents or parser versions changed; returns these.
+
+    `state` then stands for the new results. The number of partitions follows the rows of both tables, unless it is given.
+    """
+    if partitions is None:
+        partitions = leaves(manifest.count() + documents.count(), state.held())
+    now_state = state.laid_out(partitions)
     m = manifest.select("url", "seq", "sha256")
     d = documents.select("source_url", "raw_sha256", "doc_type", "parser_version", "indexed_at")
     m_part, d_part = partition_of(F.col("url"), partitions), partition_of(F.col("source_url"), partitions)
@@ -133,4 +201,7 @@ def indexing_run(state: PartitionedState, manifest: DataFrame, documents: DataFr
         some_d = d.withColumn("part", d_part).join(todo, "part", "left_semi")
         return due_documents(some_m, some_d, parser_versions).withColumn("part", partition_of(F.col("source_url"), partitions))
 
-    return state.run(now, OUT, compute)
+    made = now_state.run(now, OUT, compute)
+    state.complete(partitions)
+    state.path = now_state.path
+    return made

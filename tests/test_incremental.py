@@ -81,7 +81,7 @@ def test_a_failure_while_writing(spark, tmp_path):
         raise ValueError("no")
 
     with pytest.raises(Exception, match="no"):
-        state.run(now, inc.OUT, lambda parts: parts.select(F.lit("x").alias("source_url"), fails("part").alias("reason"), "part"))
+        state.laid_out(64).run(now, inc.OUT, lambda parts: parts.select(F.lit("x").alias("source_url"), fails("part").alias("reason"), "part"))
     assert got(state) == WANT
     shutil.rmtree(tmp_path / "s")
     assert got(state) == set()
@@ -91,3 +91,34 @@ def test_fingerprints_tell_swapped_values_and_nulls(spark):
     one = lambda rows: {r.part: r.fingerprint for r in inc.fingerprints([(spark.createDataFrame(rows, "k string, v string"), F.lit(0))]).collect()}
     assert one([("a", "b")]) != one([("b", "a")]) and one([("a", None)]) != one([(None, "a")]) and one([("a", "b")] * 2) != one([("a", "b")])
     assert one([("a", "1"), ("b", "2")]) == one([("b", "2"), ("a", "1")])
+
+
+def test_partitions_follow_the_rows():
+    assert inc.leaves(10) == 64 and inc.leaves(64_000_000) == 64 and inc.leaves(64_000_001) == 128 and inc.leaves(10**10) == 16384
+    # a held number stays until partitions are twice or a quarter of what they should be
+    assert inc.leaves(120_000_000, 64) == 64 and inc.leaves(130_000_000, 64) == 256 and inc.leaves(40_000_000, 128) == 128 and inc.leaves(10_000_000, 128) == 64
+
+
+def test_a_small_delta_remakes_the_leaves_it_touches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inc, "LEAF_ROWS", 12)
+    state = inc.PartitionedState(spark, str(tmp_path / "s"))
+    rows = spark.range(2_000).selectExpr("id seq", "'s' source", "concat('u', id) url", f"'{A}' sha256")
+    _, d, v = tables(spark)
+    first = inc.indexing_run(state, rows, d, v)
+    assert state.held() == 256 and len(first) == 256
+    changed = rows.selectExpr("seq", "source", "url", f"if(seq < 20, '{B}', sha256) sha256")
+    again = inc.indexing_run(state, changed, d, v)
+    assert 15 <= len(again) <= 20  # one per cent of the rows, about as many leaves
+    assert inc.indexing_run(state, changed, d, v) == []
+    # the tables grow: another layout beside the old one, which holds until the new one is committed
+    more = changed.unionByName(spark.range(2_000, 6_500).selectExpr("id seq", "'s' source", "concat('u', id) url", f"'{A}' sha256"))
+    inc.indexing_run(state, more, d, v)
+    assert state.held() == 1024 and state.results(inc.OUT).count() == inc.due_documents(more, d, v).count()
+    assert inc.PartitionedState(spark, str(tmp_path / "s")).path == state.path
+
+
+def test_results_made_by_other_code_are_made_again(spark, tmp_path, monkeypatch):
+    state = inc.PartitionedState(spark, str(tmp_path / "s"))
+    first = inc.indexing_run(state, *tables(spark))
+    monkeypatch.setattr(inc, "RULES", "other")
+    assert inc.indexing_run(state, *tables(spark)) == first
