@@ -26,6 +26,15 @@ class Names:
     """A trie of names; each leads to the ids it stands for, the first being what it literally names."""
 
     root: dict = field(default_factory=dict)
+    titles: dict[str, str] = field(default_factory=dict)
+
+    def titled(self) -> Names:
+        """The same names, leading to the titles of what they stand for."""
+
+        def walk(node: dict) -> dict:
+            return {k: tuple(self.titles.get(i, i) for i in v) if k == "" else walk(v) for k, v in node.items()}
+
+        return Names(walk(self.root), self.titles)
 
     def add(self, name: str, ids: tuple[str, ...]) -> None:
         words = [w.lower() for w in WORD.findall(name)]
@@ -67,7 +76,7 @@ def names_of(statutes: DataFrame) -> Names:
     if len(rows) > NAMES_BOUND:
         raise ValueError("more laws than a register holds; join them by their words instead")
     before = {r["successor"]: r["id"] for r in rows if r["successor"]}
-    made, shared = Names(), {}
+    made, shared = Names(titles={r["id"]: r["short_title"] for r in rows if r["short_title"]}), {}
     for r in sorted(rows, key=lambda r: r["id"]):
         ids = tuple(x for x in (r["id"], r["successor"], before.get(r["id"])) if x)
         for name in (r["title"], r["short_title"], (r["title"] or "").removeprefix("The ")):

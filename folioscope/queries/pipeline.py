@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
@@ -73,9 +73,7 @@ def answer_context(spark: SparkSession, sf: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     r, blocks = _blocks(spark, sf)
-    s = table(spark, sf, "statutes")
-    titles = {x["id"]: x["short_title"] for x in s.select("id", "short_title").collect()}  # a register of fixed size
-    return plan.answered(r.gate, blocks, registry.names_of(s), titles)
+    return plan.answered(r.gate, blocks, registry.names_of(table(spark, sf, "statutes")))
 
 
 def citation_cards(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,12 +84,11 @@ def checked_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Stored answers against the sections they cite."""
     a = table(spark, sf, "phase1_acceptance").where("answer_markdown is not null")
     cited = a.select("result_id", F.explode_outer("cited").alias("c")).select("result_id", "c.act", "c.section")
-    c = _chunks(spark, sf).where("doc_type = 'statute'").select(F.col("act_title").alias("act"), "section", "chunk", F.struct("chunk", *citations.FIELDS, "section", "doc_type").alias("s"))
-    src = cited.join(c, ["act", "section"]).groupBy("result_id").agg(F.array_sort(F.collect_set("s")).alias("sources"))  # all chunks of the cited sections
+    c = _chunks(spark, sf).where("doc_type = 'statute'").select(F.col("act_title").alias("act"), "section", "chunk", "doc_type", "status", "successor", *citations.FIELDS)
+    src = cited.distinct().join(c, ["act", "section"]).withColumn("sid", F.row_number().over(Window.partitionBy("result_id").orderBy("chunk")))  # all chunks of the cited sections
     s = table(spark, sf, "statutes")
-    titles = {x["id"]: x["short_title"] for x in s.select("id", "short_title").collect()}
-    d = a.select("result_id", "answer_markdown").join(src, "result_id", "left")
-    return citations.warnings(citations.validate(d, "result_id", "answer_markdown", "sources", registry.names_of(s), titles)).drop("text")
+    done = citations.validate(a.select("result_id", "answer_markdown"), src, "result_id", "answer_markdown", registry.names_of(s))
+    return citations.warnings(done, citations.repealed(done, src, s, "result_id"))
 
 
 def unsupported_share(spark: SparkSession, sf: str) -> DataFrame:

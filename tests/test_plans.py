@@ -66,7 +66,7 @@ def test_answers_are_grounded_in_their_context(corpus):
     q, c, s = corpus
     r = retrieve(q, c, s, "full")
     blocks = answer.context(r.candidates.select("query_id", "chunk", "fused", "final", "doc_type", "token_count"), c.drop("doc_type", "token_count").join(c.select("chunk", "doc_type", "token_count"), "chunk"))
-    got = {x.query_id: x for x in answer.answered(r.gate, blocks, registry.names_of(s), {"deeds-1908": "Deeds Act, 1908"}).collect()}
+    got = {x.query_id: x for x in answer.answered(r.gate, blocks, registry.names_of(s)).collect()}
     assert got["none"].abstained and got["none"].answer is None and got["none"].confidence == "low"
     assert "A fine is due for late deeds. [S" in got["sec"].answer and got["sec"].used and got["sec"].warnings == []
     assert all(x.verbatim for x in answer.cards(blocks).collect())
@@ -79,7 +79,7 @@ def test_a_generator_without_marks_falls_back(corpus):
     r = retrieve(q, c, s, "full")
     blocks = answer.context(r.candidates.select("query_id", "chunk", "fused", "final", "doc_type", "token_count"), c.drop("doc_type", "token_count").join(c.select("chunk", "doc_type", "token_count"), "chunk"))
     bare = lambda b: b.select("query_id").distinct().selectExpr("query_id", "'**Short answer:** This claim has no mark at all.' as answer")
-    got = {x.query_id: x for x in answer.answered(r.gate, blocks, None, None, bare).collect()}
+    got = {x.query_id: x for x in answer.answered(r.gate, blocks, None, bare).collect()}
     assert got["sec"].answer.startswith("**What the sources say:**") and got["sec"].confidence == "low"
 
 

@@ -50,47 +50,45 @@ def test_nearest_law_of_a_section(spark, names):
     assert got == [("1", "crpc-1973", "4", "(1)"), ("1", "registration-1908", "23A", None), ("2", None, "5", None)]
 
 
-TITLES = {r[0]: r[2] for r in ROWS}
-S1 = {"text": "Under section 23 a document “shall be presented within four months” of its date. The Collector v. Rao decided so in 2001.", "title": "T", "act_title": "Registration Act, 1908", "doc_type": "statute", "section": "23", "locator": "s. 23"}
-S2 = {"text": "Section 438 of the CrPC allows bail. (1980) 2 SCC 565 applies.", "title": "U", "act_title": None, "doc_type": "judgment", "section": None, "locator": "para 3"}
-
-
-def check(answer, names):
-    return citations.checked(answer, citations.Sources([S1, S2], names, TITLES))
-
-
-def test_marks_are_expanded_stripped_and_reported(names):
-    r = check("It holds [S1, S2]. And [S1][S9]. None [N/A]. Range [S1-S2].", names)
-    assert r["text"] == "It holds [S1][S2]. And [S1]. None. Range [S1][S2]." and r["unknown"] == ["S9"] and r["used"] == ["S1", "S2"]
-
-
-def test_quotations_must_be_verbatim(names):
-    good = "It “shall be presented within four months” [S1]."
-    assert check(good, names)["text"] == good
-    r = check("First one stays [S1]. It “shall be presented within five months” [S1]. Last one stays [S2].", names)
-    assert r["text"] == "First one stays [S1]. Last one stays [S2]." and r["quotes"] == ["shall be presented within five months"]
-    assert check("It “shall be presented … four months” [S1].", names)["quotes"] == []
-    assert check("It “shall … within … four months” [S1].", names)["quotes"]
-
-
-def test_authorities_must_be_in_the_sources(names):
-    assert check("Section 23 says so [S1].", names)["authorities"] == []
-    assert check("Section 88 says so [S1].", names)["authorities"] == ["section 88"]
-    assert check("Section 438 of the CrPC allows it [S2].", names)["authorities"] == []
-    assert check("Section 23 of the CrPC allows it [S1].", names)["authorities"] == ["section 23 of the Code of Criminal Procedure, 1973"]
-    assert check("As (1980) 2 SCC 565 held [S2]. As (1981) 2 SCC 565 held [S2].", names)["authorities"] == ["(1981) 2 SCC 565"]
-    assert check("It, as Collector v. Rao had it, so [S1]. It, as Singh v. Rao had it, so [S1].", names)["authorities"] == ["Singh v. Rao"]
-    r = check("**Short answer:** Section 99 applies here [S1].\nThe rest stays.", names)
-    assert r["text"] == "**Short answer:**\nThe rest stays." and r["removed"]
-
-
-def test_unsupported_share(names):
-    r = check("**Short answer:** This is a claim without any mark. This one has a mark indeed [S1]. The sources do not say more here.\n**Other:** Nothing is counted under this heading.", names)
-    assert (r["unsupported"], r["unsupported_share"]) == (1, 0.5)
-
-
-def test_validate_rows(spark, names):
-    d = spark.createDataFrame([(1, "It holds [S3].", [("t", "23")]), (2, None, None), (2, "", [])], "k bigint, a string, s array<struct<text:string,section:string>>")
-    got = citations.warnings(citations.validate(d, "k", "a", "s", names, TITLES)).collect()
-    assert len(got) == 3 and [r.warnings for r in got if r.k == 1] == [["Removed 1 citation(s) to sources that were not provided: S3."]]
-    assert all(r.text == "" and r.used == [] for r in got if r.k == 2)
+S1 = {"text": "Under section 23 a document “shall be presented within four months” of its date. The Collector v. Rao decided so in 2001.", "title": "T", "act_title": "Registration Act, 1908", "doc_type": "statute", "section": "23", "locator": "s. 23", "status": "in_force", "successor": None}
+S2 = {"text": "Section 438 of the CrPC allows bail. (1980) 2 SCC 565 applies. See Order XXI too.", "title": "U", "act_title": None, "doc_type": "judgment", "section": None, "locator": "para 3", "status": "n/a", "successor": None}
+S3 = {"text": "It says nothing.", "title": "V", "act_title": "Code of Criminal Procedure, 1973", "doc_type": "statute", "section": "9", "locator": "s. 9", "status": "repealed", "successor": "bnss-2023"}
+GOOD = "It “shall be presented within four months” [S1]."
+#: Answer -> what must come out.
+CASES = [
+    ("It holds [S1, S2]. And [S1][S9]. None [N/A]. Range [S1-S2].", {"text": "It holds [S1][S2]. And [S1]. None. Range [S1][S2].", "unknown": ["S9"], "used": ["S1", "S2"]}),
+    ("Wide [S1-S30] and odd [ s02 ] marks [].", {"text": "Wide [S1] and odd [S2] marks.", "unknown": ["S30"]}),
+    (GOOD, {"text": GOOD, "quotes": []}),
+    ("First one stays [S1]. It “shall be presented within five months” [S1]. Last one stays [S2].", {"text": "First one stays [S1]. Last one stays [S2].", "quotes": ["shall be presented within five months"]}),
+    ("It “shall be presented … four months” [S1].", {"quotes": []}), ("It “shall … within … four months” [S1].", {"quotes": ["shall … within … four months"]}), ("It “shall be presented within four months” [S2].", {"quotes": ["shall be presented within four months"]}),
+    ("Section 23 says so [S1].", {"authorities": []}), ("Section 88 says so [S1].", {"authorities": ["section 88"]}), ("Sections 23, 24(1) and 438 say so.", {"authorities": ["section 24"]}),
+    ("Section 438 of the CrPC allows it [S2].", {"authorities": []}), ("Section 23 of the CrPC allows it [S1].", {"authorities": ["section 23 of the Code of Criminal Procedure, 1973"]}), ("The CrPC's section 438 allows it [S2].", {"authorities": []}),
+    ("Section 23 of the Registration Act is it [S1].", {"authorities": []}), ("Order XXI allows it [S2]. Order XXII doesn't [S2].", {"authorities": ["Order XXII"]}),
+    ("As (1980) 2 SCC 565 held [S2]. As (1981) 2 SCC 565 held [S2].", {"authorities": ["(1981) 2 SCC 565"]}), ("It, as Collector v. Rao had it, so [S1]. It, as Singh v. Rao had it, so [S1].", {"authorities": ["Singh v. Rao"]}),
+    ("The Registration Act, 1908 holds [S1]. The Registration Act, 1909 holds [S1]. Consumer Protection Act, 1986 holds [S1].", {"authorities": ["The Registration Act, 1909", "Consumer Protection Act, 1986"]}),
+    ("**Short answer:** Section 99 applies here [S1].\nThe rest stays.", {"text": "**Short answer:**\nThe rest stays.", "removed": ["**Short answer:** Section 99 applies here [S1]."]}),
+    ("See No. 5 of A. B. Rao here. Next one.", {"text": "See No. 5 of A. B. Rao here. Next one."}),
+    ("**Short answer:** This is a claim without any mark. This one has a mark indeed [S1]. The sources do not say more here.\n**Other:** Nothing is counted under this heading.", {"unsupported": 1, "unsupported_share": 0.5}),
+    ("It is old [S3].", {"used": ["S3"], "warnings": ["[S3] Code of Criminal Procedure, 1973 is repealed; it was replaced by bnss-2023. It may still govern events or proceedings from before the repeal."]}),
+    (None, {"text": "", "used": [], "unknown": [], "warnings": []}), ("", {"text": "", "removed": []}), ("  \n", {"text": ""}),
+]
+
+
+def test_answers_against_their_sources(spark, names, statutes):
+    a = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "k int, a string")
+    kinds = "k int, sid int, " + ", ".join(f"{c} string" for c in S1) + ", numbers string, n int, piece string"
+    src = spark.createDataFrame([(i, sid, *s.values(), "x", 1, "y") for i in range(len(CASES)) for sid, s in enumerate((S1, S2, S3), 1)], kinds)
+    done = citations.validate(a, src, "k", "a", names)
+    got = {r.k: r for r in citations.warnings(done, citations.repealed(done, src, statutes, "k")).collect()}
+    assert len(got) == len(CASES)
+    bad = [(t, {c: getattr(got[i], c) for c in want}) for i, (t, want) in enumerate(CASES) if {c: getattr(got[i], c) for c in want} != want]
+    assert not bad
+
+
+def test_answers_without_sources(spark, names):
+    a = spark.createDataFrame([(1, "It holds [S3]. “A quotation of some length” stands. Section 3 too.")], "k bigint, a string")
+    src = spark.createDataFrame([], "k bigint, sid int, text string")
+    for n in (names, None):
+        r = citations.warnings(citations.validate(a, src, "k", "a", n)).first()
+        assert r.text == "It holds." and r.warnings[0] == "Removed 1 citation(s) to sources that were not provided: S3." and r.authorities == ["section 3"] and len(r.removed) == 2
+    assert citations.validate(a.limit(0), src, "k", "a").count() == 0
