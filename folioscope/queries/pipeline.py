@@ -81,14 +81,16 @@ def citation_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def checked_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored answers against the sections they cite."""
+    """Stored answers against all chunks of the sections they cite."""
     a = table(spark, sf, "phase1_acceptance").where("answer_markdown is not null")
     cited = a.select("result_id", F.explode_outer("cited").alias("c")).select("result_id", "c.act", "c.section")
     c = _chunks(spark, sf).where("doc_type = 'statute'").select(F.col("act_title").alias("act"), "section", "chunk", "doc_type", "status", "successor", *citations.FIELDS)
     src = cited.distinct().join(c, ["act", "section"]).withColumn("sid", F.row_number().over(Window.partitionBy("result_id").orderBy("chunk")))  # all chunks of the cited sections
     s = table(spark, sf, "statutes")
     done = citations.validate(a.select("result_id", "answer_markdown"), src, "result_id", "answer_markdown", registry.names_of(s))
-    return citations.warnings(done, citations.repealed(done, src, s, "result_id"))
+    d = citations.warnings(done, citations.repealed(done, src, s, "result_id"))
+    joined = [F.array_join(c, "|").alias(c) for c in ("used", "unknown", "quotes", "authorities")]
+    return d.select("result_id", *joined, F.size("removed").cast("bigint").alias("n_removed"), F.col("unsupported").cast("bigint").alias("unsupported"), F.round("unsupported_share", 6).alias("unsupported_share"), F.size("warnings").cast("bigint").alias("n_warnings"), F.length("text").cast("bigint").alias("n_text"))
 
 
 def unsupported_share(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,10 +175,53 @@ def _classify() -> str:
     )
 
 
+_FLAT = "lower(trim(regexp_replace(translate(@, '“”‘’', '\"\"'''''), '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')))"
+
+
+def _checked() -> str:
+    """Sentences by splitting at every stop and joining again what an abbreviation parted; all checks by regular expression."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    short = "|".join(a.replace(".", "\\.") for a in citations.ABBREVIATIONS)
+    said = " || ' ' || ".join(f"coalesce({f}, '')" for f in citations.FIELDS)
+    numbers = "list_transform(flatten(list_transform(regexp_extract_all(@, " + q(citations.SECTIONS) + ", 1), lambda x: regexp_extract_all(regexp_replace(x, '\\([^)]*\\)', '', 'g'), '\\d{1,3}[A-Za-z]{0,2}'))), lambda x: upper(x))"
+    common = "[" + ", ".join(q(w) for w in citations.COMMON_PARTIES) + "]"
+    word = f"list_filter(regexp_extract_all(lower(@), '[a-z]{{3,}}'), lambda w: NOT list_contains({common}, w))[1]"
+    reports = " + ".join(f"len(list_filter(regexp_extract_all(s, {q(p)}), lambda x: NOT contains(regexp_replace(said, '[^0-9a-z]', '', 'g'), regexp_replace(lower(x), '[^0-9a-z]', '', 'g'))))" for p in citations.REPORTS)
+    claims = ", ".join(q(c) for c in citations.CLAIMS)
+    return f"""WITH a AS (SELECT result_id, regexp_replace(regexp_replace(answer_markdown, '(?i)[ \t]*\\[(?:\\s*(?:none|n/?a|nil)\\s*)?\\]', '', 'g'), '\\[\\s*[Ss]\\s*0*(\\d{{1,3}})\\s*\\]', '[S\\1]', 'g') AS t FROM phase1_acceptance WHERE answer_markdown IS NOT NULL),
+c AS (SELECT DISTINCT result_id, x.act, x.section FROM (SELECT result_id, unnest(cited) AS x FROM phase1_acceptance)),
+src AS (SELECT result_id, row_number() OVER (PARTITION BY result_id ORDER BY "rowid") AS sid, {_FLAT.replace('@', said)} AS said, {_FLAT.replace('@', "coalesce(text, '')")} AS body, list_distinct(list_concat(CASE WHEN k.section IS NULL THEN [] ELSE [upper(k.section)] END, {numbers.replace('@', "coalesce(text, '')")})) AS nums, status FROM c JOIN chunks k ON k.act_title = c.act AND k.section = c.section AND k.doc_type = 'statute'),
+m AS (SELECT result_id, t, unnest(regexp_extract_all(t, '\\[S(\\d+)\\]', 1))::BIGINT AS sid, generate_subscripts(regexp_extract_all(t, '\\[S(\\d+)\\]', 1), 1) AS pos FROM a),
+u AS (SELECT result_id, string_agg('S' || sid, '|' ORDER BY pos) AS unknown, list('[S' || sid || ']') AS gone FROM m ANTI JOIN src USING (result_id, sid) GROUP BY 1),
+b AS (SELECT result_id, coalesce(unknown, '') AS unknown, list_reduce(list_prepend(t, coalesce(gone, [])), lambda x, y: replace(x, y, '')) AS t FROM a LEFT JOIN u USING (result_id)),
+p AS (SELECT result_id, unnest(w) AS p, generate_subscripts(w, 1) AS i FROM (SELECT result_id, string_split(regexp_replace(regexp_replace(t, '(\n+)', '\\1' || chr(1), 'g'), '([.!?])([ \t]+)([A-Z“"(\\[*-])', '\\1\\2' || chr(1) || '\\3', 'g'), chr(1)) AS w FROM b)),
+g AS (SELECT *, sum(CASE WHEN regexp_matches(coalesce(before, ''), '(?:^|[^\\pL\\pN_])(?:{short}|[A-Z])\\.[ \t]+$') THEN 0 ELSE 1 END) OVER (PARTITION BY result_id ORDER BY i) AS n FROM (SELECT *, lag(p) OVER (PARTITION BY result_id ORDER BY i) AS before FROM p)),
+s0 AS (SELECT result_id, n, string_agg(p, '' ORDER BY i) AS p FROM g GROUP BY 1, 2),
+s AS (SELECT result_id, n, regexp_replace(p, '\\s+$', '') AS s, regexp_extract(p, '\\s*$') AS gap, list_transform(regexp_extract_all(p, '\\[S(\\d+)\\]', 1), lambda x: x::BIGINT) AS sids FROM s0),
+pool AS (SELECT s.result_id, n, string_agg(said, ' ' ORDER BY coalesce(list_position(sids, sid), 0), sid) AS said, string_agg(body, ' ' ORDER BY coalesce(list_position(sids, sid), 0), sid) AS body, flatten(list(nums)) AS nums FROM s JOIN src ON src.result_id = s.result_id AND (len(sids) = 0 OR list_contains(sids, sid)) GROUP BY 1, 2),
+j AS (SELECT s.*, coalesce(said, '') AS said, coalesce(body, '') AS body, coalesce(nums, []) AS nums, regexp_extract_all(s, {q(citations.QUOTED)}, 1) AS qs FROM s LEFT JOIN pool USING (result_id, n)),
+k AS (SELECT *, list_filter(qs, lambda x: NOT regexp_matches(body, '(?s)' || list_aggregate(list_transform(list_filter(list_transform(regexp_split_to_array(x, '\\s*(?:\\.\\s?\\.\\s?\\.|…)\\s*'), lambda y: trim({_FLAT.replace('@', "y")}, ' .,;:')), lambda y: y <> ''), lambda y: regexp_escape(y)), 'string_agg', '.*'))) AS bad,
+  list_concat(list_transform(list_filter({numbers.replace('@', "s")}, lambda x: NOT list_contains(nums, x)), lambda x: 'section ' || x),
+    list_transform(list_filter(regexp_extract_all(s, {q(citations.ORDER)}, 1), lambda x: NOT contains(said, 'order ' || lower(x)) AND NOT contains(said, 'o. ' || lower(x))), lambda x: 'Order ' || x),
+    list_transform(list_filter(list_zip(regexp_extract_all(s, {q(citations.CASE)}, 1), regexp_extract_all(s, {q(citations.CASE)}, 2)), lambda x: coalesce(NOT contains(said, {word.replace('@', "x[1]")}), false) OR coalesce(NOT contains(said, {word.replace('@', "x[2]")}), false)), lambda x: x[1] || ' v. ' || x[2])) AS bad_names, {reports} AS n_reports FROM j),
+v AS (SELECT *, CASE WHEN len(bad) > 0 THEN [] ELSE bad_names END AS x, len(bad) > 0 OR len(bad_names) + n_reports > 0 AS out FROM k),
+w AS (SELECT result_id, n, bad, x, out, CASE WHEN NOT out THEN s || gap WHEN regexp_matches(s, '^\\s*\\*\\*[^*\n]{{2,60}}\\*\\*:?') THEN regexp_extract(s, '^\\s*(\\*\\*[^*\n]{{2,60}}\\*\\*:?)', 1) || gap ELSE '' END AS kept FROM v),
+h0 AS (SELECT *, coalesce(regexp_matches(last_value(nullif(kept, '') IGNORE NULLS) OVER (PARTITION BY result_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '\\n\\s*$'), true) AS fresh FROM w),
+h AS (SELECT *, last_value(CASE WHEN fresh THEN lower(trim(nullif(regexp_extract(kept, {q(citations.HEADED)}, 1), ''))) END IGNORE NULLS) OVER (PARTITION BY result_id ORDER BY n) AS head, CASE WHEN fresh THEN regexp_replace(kept, {q(citations.HEADED)}, '') ELSE kept END AS own FROM h0),
+z AS (SELECT result_id, count(*) FILTER (NOT regexp_matches(own, '\\[S\\d+\\]'))::BIGINT AS bare, count(*)::BIGINT AS total FROM h WHERE head IN ({claims}) AND len(regexp_extract_all(own, '[\\pL\\pM\\pN_]+')) >= 5 AND NOT regexp_matches(own, {q(citations.UNCOVERED)}) GROUP BY 1),
+f AS (SELECT result_id, trim(regexp_replace(regexp_replace(string_agg(kept, '' ORDER BY n), '[ \t]+([.,;:])', '\\1', 'g'), '[ \t]{{2,}}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text, flatten(list(bad ORDER BY n)) AS quotes, flatten(list(x ORDER BY n)) AS names, count(*) FILTER (out) AS n_removed FROM w GROUP BY 1),
+o AS (SELECT result_id, sid, min(pos) AS pos FROM (SELECT result_id, unnest(regexp_extract_all(text, '\\[S(\\d+)\\]', 1))::BIGINT AS sid, generate_subscripts(regexp_extract_all(text, '\\[S(\\d+)\\]', 1), 1) AS pos FROM f) GROUP BY 1, 2),
+y AS (SELECT result_id, string_agg('S' || sid, '|' ORDER BY pos) AS used, count(*) FILTER (status = 'repealed') AS n_repealed FROM o JOIN src USING (result_id, sid) GROUP BY 1)
+SELECT result_id, coalesce(used, '') AS used, unknown, array_to_string(quotes, '|') AS quotes, array_to_string(names, '|') AS authorities, n_removed, coalesce(bare, 0) AS unsupported, round(coalesce(bare / total, 0.0), 6) AS unsupported_share,
+  coalesce(n_repealed, 0) + (unknown <> '')::BIGINT + (len(quotes) > 0)::BIGINT + (len(names) > 0)::BIGINT AS n_warnings, length(text) AS n_text
+FROM f JOIN b USING (result_id) LEFT JOIN z USING (result_id) LEFT JOIN y USING (result_id)"""
+
+
 _MENTIONS = """WITH q AS (SELECT result_id::VARCHAR AS query_id, question FROM phase1_acceptance WHERE question IS NOT NULL),
 m AS (SELECT query_id, question, id AS names, strpos(lower(question), lower(title)) - 1 AS start, length(title) AS n FROM q JOIN statutes ON contains(lower(question), lower(title))) """
 _REFS = _MENTIONS + """, r AS (SELECT query_id, unnest(regexp_extract_all(question, '(?i)(?:\\b(?:section|sec\\.?|s\\.|u/s\\.?|ss\\.)\\s*|धारा\\s*)(\\d{1,3}[A-Z]{0,2})', 1)) AS section FROM q), f AS (SELECT query_id, 0::BIGINT AS seq, names AS act, upper(section) AS section, NULL::VARCHAR AS sub FROM r LEFT JOIN m USING (query_id)) """
 SQL = {
+    "checked_answers": _checked(),
     "act_mentions": _MENTIONS + "SELECT query_id, names, start, start + n AS \"end\" FROM m",
     "section_refs": _REFS + "SELECT * FROM f",
     "section_lookup": _REFS + "SELECT query_id, c.\"rowid\" AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY c.\"rowid\") AS pin FROM f JOIN statutes s ON s.id = f.act JOIN chunks c ON c.act_title = s.short_title AND c.section = f.section AND c.doc_type = 'statute'",
