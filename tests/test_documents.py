@@ -40,6 +40,7 @@ def test_statute_sections_notes_and_state_blocks(spark):
     assert texts["rule", "O. XXXIX r. 1", 0].chapter == "Order XXXIX — INJUNCTIONS" and "“9. Quoted" in texts["section", "1", 0].text
     notes = {r.unit: [(n.marker, n.text) for n in r.notes] for r in splitting.linked_notes(d, u).collect()}
     assert list(notes.values()) == [[("1", "Subs. by Act 2, s. 3. continued note")]]
+    assert [(r.num, r.heading) for r in splitting.missing_sections(d).collect()] == [("3", "Omitted.")]
     assert splitting.statute_units(lines(spark, LAW[:5])).count() == 0
 
 
@@ -60,7 +61,15 @@ def test_judgment_paragraphs(spark):
     assert numbers == [None, 1, 2, 3, 3, 3, 5, 1001, 1002] and got[0].line_no == 3 and got[-1].line_no == 13
     assert by[2, 2, 1] == ["2. The facts are these and", "7. a quoted item goes on."]
     assert splitting.judgment_paragraphs(lines(spark, rows[4:8])).count() == 0
-    assert splitting.paragraph_label(3, 5) == "paras 3-5" and splitting.paragraph_label(1002, 1002) == "para 2 (opinion 2)" and splitting.paragraph_label(None, None) is None
+    labels = spark.sql("select * from values (3, 5), (1002, 1002), (4, 4), (7, 1001), (null, null) as t(a, b)").select(splitting.paragraph_label(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in labels] == ["paras 3-5", "para 2 (opinion 2)", "para 4", "paras 7-1 (opinion 1)", None]
+    one = [J("A. B. RAO, J. 1. Leave granted.", 2), J("2. Next."), J("C. D. SEN, J. 1. I agree.")]
+    got = splitting.judgment_paragraphs(lines(spark, [J("x"), *one])).orderBy("line_no").collect()
+    assert [(r.line_no, r.number, r.opinion) for r in got] == [(1, 1, 1), (2, 2, 1), (3, 1001, 2)]
+    misread = [J("The Qrder of the Com1 was delivered by"), J("RAO, J."), J("1. Leave granted."), J("headnote of the case was passed"), J("no number here")]
+    assert [r.line_no for r in splitting.judgment_paragraphs(lines(spark, misread)).orderBy("line_no").collect()][0] == 1
+    counsel = [J("X, Adv. for the appellant."), J("Text begins."), J("And goes on."), J("Y, Adv. for the respondent.")]
+    assert [r.line_no for r in splitting.judgment_paragraphs(lines(spark, counsel)).orderBy("line_no").collect()] == [1, 2, 3]
 
 
 def test_packing(spark):
