@@ -81,14 +81,20 @@ def test_packing(spark):
 def test_upload_passages(spark):
     rows = [("u", i, p, t, o) for i, (p, t, o) in enumerate([(1, "LEASE DEED", False), (1, "1. The rent " + "word " * 150, False), (2, "2. The term " + "word " * 100, True), (2, "", False), (4, "3. Short.", False)])]
     got = passages.upload_passages(spark.createDataFrame(rows, "doc_id string, line_no int, page int, text string, ocr boolean")).orderBy("n").collect()
-    assert [r.locator for r in got] == ["clause 1 · p. 1", "clauses 2-3 · pp. 2, 4 · OCR"] and all(r.words <= 200 for r in got)
-    assert passages.numbers_label("clause", ["3.1", "3.2", "3.10"]) == "clauses 3.1-3.10" and passages.numbers_label("section", ["6", "1"]) == "sections 6, 1"
-    assert passages.runs([1, 2, 3, 7]) == "1-3, 7" and passages.relabelled("x [S1][S2]", {"S1": "D1", "S2": "S1"}) == "x [D1][S1]"
+    assert [r.locator for r in got] == ["clause 1 · p. 1", "clauses 2-3 · pp. 2-4 · OCR"] and all(r.words <= 200 for r in got)
+    labels = spark.createDataFrame([("clause", ["3.1", "3.2", "3.10"]), ("section", ["6", "1"]), ("para", ["7"]), ("para", []), ("para", ["4", "3", "2", "1"])], "w string, n array<string>").select(passages.number_label(F.col("w"), F.col("n"))).collect()
+    assert [r[0] for r in labels] == ["clauses 3.1-3.10", "sections 6, 1", "para 7", None, "paras 4, 3, 2 …"]
+    long = [("v", i, 1 + i // 40, "7.5 It " + "w " * 18 if not i else "w " * 20, False, "") for i in range(30)] + [("v", 90, 2, "SIGNED AND SEALED", False, ""), ("v", 91, 2, "Article 9 ends", False, ""), ("v", 92, 2, "Bold line", False, "Bold line")]
+    got = passages.upload_passages(spark.createDataFrame(long, "doc_id string, line_no int, page int, text string, ocr boolean, bold_prefix string")).orderBy("n").collect()
+    assert [(r.locator, r.words) for r in got] == [("para 7.5 · p. 1", 200), ("para 7.5 · p. 1", 200), ("para 7.5 · p. 1", 200), ("para 9 · p. 2", 8)]
+    assert passages.relabelled("x [S1][S2]", {"S1": "D1", "S2": "S1"}) == "x [D1][S1]"
 
 
 def test_rows_of_fragments(spark):
     f = spark.createDataFrame([("d", 1, 50.0, 10.0, 10.0, "world"), ("d", 1, 0.0, 12.0, 10.0, "hello"), ("d", 1, 0.0, 30.0, 10.0, "next")], "doc_id string, page int, left double, top double, height double, text string")
     assert [r.text for r in passages.merged_rows(f).orderBy("row").collect()] == ["hello world", "next"]
+    f = spark.createDataFrame([("d", 1, 0.0, 10.0, 30.0, "tall"), ("d", 1, 20.0, 12.0, 4.0, "a"), ("d", 1, 40.0, 30.0, 8.0, "b"), ("d", 1, 0.0, 60.0, 8.0, None)], "doc_id string, page int, left double, top double, height double, text string")
+    assert [r.text for r in passages.merged_rows(f).orderBy("row").collect()] == ["tall a b", ""]
 
 
 def test_validation_reasons(spark):
