@@ -47,7 +47,7 @@ def gate(candidates: DataFrame, on: Column, score: str, least_rerank: float = 0.
 
     Pinned evidence always is; scores of a reranker or of vectors must reach their threshold; keywords never decide.
     """
-    by = candidates.groupBy(query).agg(F.max(on).alias("gate"), F.max(score).alias("best"))
+    by = candidates.groupBy(query).agg(F.min(on).alias("gate"), F.max(score).alias("best"))
     low = (F.col("gate") == "rerank") & (F.col("best") < least_rerank) | (F.col("gate") == "dense") & (F.col("best") < least_dense)
     return by.withColumn("abstained", F.coalesce(low, F.lit(False)))
 
@@ -78,10 +78,10 @@ def statute_slots(final: DataFrame, places: int = 8, slots: int = 2, deepest: in
     return d.withColumn("slot", F.row_number().over(by.orderBy(zone, F.when(F.col("_in"), F.col("_n")).otherwise(F.col("final"))))).drop(*[c for c in d.columns if c.startswith("_")])
 
 
-def within_budget(ranked: DataFrame, size: str, budget: int, most: int, order: str = "rank", query: str = "query_id", key: str = "chunk", deepest: int = 200) -> DataFrame:
+def within_budget(ranked: DataFrame, size: str, budget: int, most: int, order: str = "rank", query: str = "query_id", key: str = "chunk") -> DataFrame:
     """(query, key, pos): walks each list in order and takes what still fits, skipping what doesn't, until `most` are taken.
 
-    The fold runs in the JVM over the first `deepest` rows of each list (a pool is far shorter).
+    The fold runs in the JVM over the whole list, but for what can't fit at all.
     """
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("n"), F.col(key).alias("k"))))
     kind = ranked.schema[key].dataType.simpleString()
@@ -91,7 +91,7 @@ def within_budget(ranked: DataFrame, size: str, budget: int, most: int, order: s
         fits = (F.size(acc["got"]) < most) & (acc["used"] + x["n"] <= budget)
         return F.when(fits, F.struct((acc["used"] + x["n"]).alias("used"), F.concat(acc["got"], F.array(x["k"])).alias("got"))).otherwise(acc)
 
-    by = ranked.where(F.col(order) <= deepest).groupBy(query).agg(F.aggregate(items, start, step).alias("r"))
+    by = ranked.where(F.col(size) <= budget).groupBy(query).agg(F.aggregate(items, start, step).alias("r"))
     return by.select(query, F.posexplode("r.got").alias("pos", key)).withColumn("pos", F.col("pos") + 1)
 
 

@@ -146,6 +146,18 @@ INTENTS = {
 }
 
 
+#: The domains of laws, and cues of matters where much is at stake.
+ACT_DOMAINS = {
+    "crpc-1973": "criminal_procedure", "bnss-2023": "criminal_procedure", "ipc-1860": "criminal_procedure", "bns-2023": "criminal_procedure", "iea-1872": "criminal_procedure", "bsa-2023": "criminal_procedure",
+    "cpa-2019": "consumer", "cpa-1986": "consumer", "registration-1908": "property_land", "tpa-1882": "property_land", "rfctlarr-2013": "property_land", "laa-1894": "property_land", "rera-2016": "property_land",
+    "limitation-1963": "contract_civil", "ica-1872": "contract_civil", "sra-1963": "contract_civil", "cpc-1908": "contract_civil",
+}
+HIGH_STAKES = r"\barrest|detain|detention|in custody|police (?:took|picked|came)|\bbail\b|threat|violence|beat(?:en|ing)|assault|abuse|harass|rape|suicide|kill|kidnap|missing|evict|dispossess|thrown out|demolish|deadline|last date|limitation (?:is )?(?:expir|end)|tomorrow|\bchild\b|minor\b|गिरफ्तार|जमानत|धमकी|हिंसा|मारपीट|बेदखल"
+DATE = r"\b(\d{1,2})[./-](\d{1,2})[./-]((?:19|20)\d{2})\b"
+#: The law that orders and rules belong to.
+CIVIL_CODE = "cpc-1908"
+
+
 def domain(text: Column, act_domain: Column | None = None) -> Column:
     """The domain of a named law, else that of most cues (of ties the first), else other."""
     low = F.lower(text)
@@ -176,19 +188,34 @@ def order_rules(text: Column) -> Column:
 
 
 def event_years(text: Column, mentions: Column) -> Column:
-    """Years 1950 to 2049 outside the names of laws, sorted, each once."""
+    """Years 1950 to 2049 and dates (day first, as YYYY-MM-DD) outside the names of laws, sorted, each once."""
     bare = F.aggregate(mentions, text, lambda t, m: F.overlay(t, F.repeat(F.lit(" "), m["end"] - m["start"]), m["start"] + 1, m["end"] - m["start"]))
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\b(19[5-9]\d|20[0-4]\d)\b"), F.lit(1))))
+    years = F.regexp_extract_all(bare, F.lit(r"\b(19[5-9]\d|20[0-4]\d)\b"), F.lit(1))
+    day, month, year = (F.regexp_extract_all(bare, F.lit(DATE), F.lit(i)) for i in (1, 2, 3))
+    dates = F.transform(F.arrays_zip(year.alias("y"), month.alias("m"), day.alias("d")), lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0")))
+    return F.array_sort(F.array_distinct(F.concat(years, dates)))
+
 
+def high_stakes(text: Column) -> Column:
+    return F.coalesce(F.lower(text).rlike(HIGH_STAKES), F.lit(False))
 
-def classified(questions: DataFrame, names: Names, key: str = "query_id", text: str = "question") -> DataFrame:
-    """(key, question, mentions, domain, intent, acts, search_acts, rules, years) of each question."""
+
+def classified(questions: DataFrame, names: Names, key: str = "query_id", text: str = "question", act_domains: dict[str, str] | None = None, states: list[tuple[str, list[str]]] = ()) -> DataFrame:
+    """(key, question, mentions, domain, intent, acts, search_acts, rules, years, high_stakes, jurisdictions) of each question.
+
+    The domain is that of the first named law that has one, else of most cues. states: (code, names); jurisdictions are the codes
+    of those named, sorted. years also holds full dates.
+    """
     d = with_mentions(questions.select(key, text), text, names)
+    known = act_domains if act_domains is not None else ACT_DOMAINS
+    of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else None
+    decided = F.get(F.array_compact(F.transform("mentions", lambda m: of[m["names"]])), F.lit(0)) if known else None
     acts = F.array_distinct(F.transform("mentions", lambda m: m["names"]))
     return d.select(
-        key, text, "mentions", domain(F.col(text)).alias("domain"), intent(F.col(text)).alias("intent"), acts.alias("acts"),
+        key, text, "mentions", domain(F.col(text), decided).alias("domain"), intent(F.col(text)).alias("intent"), acts.alias("acts"),
         F.array_distinct(F.flatten(F.transform("mentions", lambda m: m["expands"]))).alias("search_acts"),
         order_rules(F.col(text)).alias("rules"), event_years(F.col(text), F.col("mentions")).alias("years"),
+        high_stakes(F.col(text)).alias("high_stakes"), F.array_sort(matched(F.col(text), list(states))).alias("jurisdictions"),
     )
 
 

@@ -54,6 +54,11 @@ def test_all_modes_rank(spark, corpus, mode):
     r = retrieve(q, c, s, mode, query_vectors=qv, chunk_vectors=cv)
     d = r.candidates.groupBy("query_id").agg(F.count("*").alias("n"), F.max("final").alias("m")).collect()
     assert d and all(x.n == x.m for x in d)
+    gates = {x.query_id: (x.gate, x.abstained) for x in r.gate.collect()}
+    if mode in ("dense", "hybrid"):  # hashed vectors are near nothing
+        assert gates["sec"] == ("dense", True) and gates["none"] == ("dense", True)
+    elif mode == "keyword":
+        assert gates["sec"] == ("none", False) and gates["none"] == ("none", True)
     if mode in ("dense", "keyword"):
         raw = search.bm25(q, c, "chunk", k=50) if mode == "keyword" else None
         if raw is not None:

@@ -37,10 +37,14 @@ def test_successors_are_searched_too(names):
 
 def test_classification(spark, names):
     q = [("1", "What does section 23 of the Registration Act say?"), ("2", "Order 39 Rule 1 CPC?"), ("3", "The police arrested my brother in 2023 under the Consumer Protection Act 1986"), ("4", "hello"), ("5", None)]
-    got = {r.query_id: r for r in registry.classified(spark.createDataFrame(q, "query_id string, question string"), names).collect()}
+    q += [("6", "Is the Registration Act different in New Tarrow since 3.4.1999 and 12/11/2001? The bail is due tomorrow in Tarrow."), ("7", "bail under the Registration Act, then police")]
+    states = [("XX-TW", ["Tarrow"]), ("XX-NT", ["New Tarrow"]), ("XX-ZZ", ["Zed"])]
+    got = {r.query_id: r for r in registry.classified(spark.createDataFrame(q, "query_id string, question string"), names, states=states).collect()}
+    assert got["6"].years == ["1999", "1999-04-03", "2001", "2001-11-12"] and got["6"].jurisdictions == ["XX-NT", "XX-TW"] and got["6"].high_stakes and not got["4"].high_stakes
+    assert got["7"].domain == "property_land" and got["3"].high_stakes and got["5"].jurisdictions == []
     assert (got["1"].intent, got["1"].acts, got["1"].domain) == ("statute_lookup", ["registration-1908"], "property_land")
     assert got["2"].rules == ["O. XXXIX r. 1"] and got["2"].intent == "statute_lookup"
-    assert got["3"].domain == "criminal_procedure" and got["3"].years == ["2023"]
+    assert got["3"].domain == "consumer" and got["3"].years == ["2023"]
     assert (got["4"].intent, got["4"].domain) == ("explain", "other") and got["5"].mentions == []
 
 
