@@ -63,15 +63,17 @@ def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.repaired(spread(table(spark, sf, "chunks")), "rowid", "text", _source(), F.lit("text"), lambda df: staged(df, "suspects"))
+    """Both fields of chunks that are prose: each source has its own chains for each."""
+    c = spread(table(spark, sf, "chunks")).select("rowid", _source().alias("source"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("said")) for f in ("text", "title")])).alias("x"))
+    return encoding.repaired(c.select("rowid", "source", "x.*"), "rowid", "said", "source", "field", lambda df: staged(df, "suspects"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _repaired(spark, sf).select("rowid").distinct()
+    return _repaired(spark, sf).where("field = 'text'").select("rowid").distinct()
 
 
 def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return _repaired(spark, sf).select("rowid", "source", "chain", "posterior", "text")
+    return _repaired(spark, sf).select("rowid", "source", "field", "chain", "posterior", "text")
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:

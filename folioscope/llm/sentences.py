@@ -29,6 +29,8 @@ LINES = re.compile("[^\r\n\x0b\x0c  ]+")
 QUOTES = {"“": "”", "”": "“”", '"': '"', "«": "»", "「": "」", "『": "』", "„": "“”"}
 MARKS = re.compile("[" + "".join(QUOTES) + "»」』]")
 
+#: Characters before a stop that a rule may see: no pattern needs more than twenty and the citation marks behind the stop.
+BEFORE = 400
 B, N = True, False
 #: The letters before the stop are matched at their end, those after it at their start.
 WORDEND = r"(?<![\w.])"
@@ -59,10 +61,17 @@ LATIN = [
     (N, r"(?<![\w.])[A-Z]\.", r"\s*[\w]"),
     (N, WORDEND + r"[A-Za-z]{1,2}\.", r"\s*[a-z]"),
 ]
-ROMANCE = [
-    (N, WORDEND + r"(?i:m|mm|mme|mlle|me|p|ex|art|arts|al|n|no|sr|sra|dr|dra|exmo|p\. ex|etc|cf|av|vol|fls|fl)\.", r"\s*\S"),
-]
-DEVANAGARI = [(N, r"(?<![\w.])(?:सं|रु|डॉ|श्री|क्र|पृ)\.", r"\s*\S")]
+#: French and Portuguese share the abbreviations of law reports; each has its own forms of address.
+COURTS = r"art|arts|al|n|no|p|ex|cf|etc|vol|av"
+FRENCH = [(N, WORDEND + rf"(?i:m|mm|mme|mmes|mlle|me|mgr|p\. ex|{COURTS})\.", r"\s*\S")]
+PORTUGUESE = [(N, WORDEND + rf"(?i:sr|sra|srs|dr|dra|exmo|exma|fl|fls|{COURTS})\.", r"\s*\S")]
+#: Hindi and Marathi share titles and signs; Marathi has its own forms of address besides.
+HINDI = [(N, r"(?<![\w.])(?:सं|रु|डॉ|श्री|क्र|पृ)\.", r"\s*\S")]
+MARATHI = [(N, r"(?<![\w.])(?:सं|रु|डॉ|श्री|क्र|पृ|सौ|कु|प्रा|न्या|ता|जि)\.", r"\s*\S")]
+#: Urdu numbers and years have their own signs; a stop in Latin form behind them is no end.
+URDU = [(N, r"(?<![\w])(?:نمبر|ص|ج|م|ء|ھ)\.", r"\s*[\d۰-۹]")]
+#: Chinese has no blanks: a stop in Latin form between ideographs and digits numbers an article.
+CHINESE = [(N, r"[\d０-９]．", r"[\d０-９]"), (N, r"(?<![\w.])(?:第|号|页)\.", r"\s*\d")]
 BENGALI = [(N, r"(?<![\w.])(?:টা|ডা|ড|নং|মো|পৃ)\.", r"\s*\S")]
 TAMIL = [(N, r"(?<![\w.])(?:எண்|ரூ|திரு|திருமதி|டாக்டர்|பக்)\.", r"\s*\S")]
 #: After a closing quotation mark: words by which the sentence goes on.
@@ -70,8 +79,8 @@ QUOTED = [
     (N, r"[“”\"»」]", r"\s*(?:[a-zß-ÿ]|کہہ کر|等|ऐसा कह|এই বলে|என்|என)"),
 ]
 TABLES = {
-    "deva": [*QUOTED, *DEVANAGARI], "beng": [*QUOTED, *BENGALI], "taml": [*QUOTED, *TAMIL], "arab": QUOTED, "hani": QUOTED,
-    "romance": [*QUOTED, *ROMANCE], "latin": QUOTED,
+    "hi": [*QUOTED, *HINDI], "mr": [*QUOTED, *MARATHI], "bn": [*QUOTED, *BENGALI], "ta": [*QUOTED, *TAMIL], "ur": [*QUOTED, *URDU], "zh": [*QUOTED, *CHINESE],
+    "fr": [*QUOTED, *FRENCH], "pt": [*QUOTED, *PORTUGUESE], "en": QUOTED,
 }
 
 
@@ -81,16 +90,23 @@ def _compiled(rules: list) -> list:
 
 #: Cascades: the language's own table, the common one, that of Latin letters, the last one.
 CASCADES = {k: _compiled([*own, *COMMON, *LATIN, *TAIL]) for k, own in TABLES.items()}
-SCRIPTS = [("deva", re.compile("[ऀ-ॣ०-ॿ]")), ("beng", re.compile("[ঀ-৿]")), ("taml", re.compile("[஀-௿]")), ("arab", re.compile("[؀-ۿ]")), ("hani", re.compile("[一-鿿]"))]
-FOREIGN = re.compile(r"\b(?:le|la|les|du|dans|selon|devant|avec|o|os|das|dos|da|do|perante|segundo)\b", re.I)
+SCRIPTS = [("hi", re.compile("[ऀ-ॣ०-ॿ]")), ("bn", re.compile("[ঀ-৿]")), ("ta", re.compile("[஀-௿]")), ("ur", re.compile("[؀-ۿ]")), ("zh", re.compile("[一-鿿]"))]
+#: Small words that tell languages of one script apart.
+FRENCH_WORDS = re.compile(r"\b(?:le|la|les|du|dans|selon|devant|avec|et|des|une|est|par)\b", re.I)
+PORTUGUESE_WORDS = re.compile(r"\b(?:o|os|das|dos|da|do|perante|segundo|e|uma|foi|pelo|pela)\b", re.I)
+MARATHI_WORDS = re.compile(r"(?<![ऀ-ॿ])(?:आहे|आणि|नाही|व|या|हे|होते|केले)(?![ऀ-ॿ])|च्या|ळ")
+HINDI_WORDS = re.compile(r"(?<![ऀ-ॿ])(?:है|और|नहीं|का|की|के|को|में|से|था|पर)(?![ऀ-ॿ])")
 
 
 def table_of(text: str) -> str:
-    """The rule table for a text, by its commonest script, and for Latin letters by small words."""
+    """The rule table for a text: the language of its commonest script, of several that have the commonest small words."""
     n, name = max((len(p.findall(text)), k) for k, p in SCRIPTS)
     if n > 0.3 * sum(c.isalpha() for c in text):
-        return name
-    return "romance" if len(FOREIGN.findall(text)) > 0.08 * (text.count(" ") + 1) else "latin"
+        return "mr" if name == "hi" and len(MARATHI_WORDS.findall(text)) > len(HINDI_WORDS.findall(text)) else name
+    fr, pt = len(FRENCH_WORDS.findall(text)), len(PORTUGUESE_WORDS.findall(text))
+    if max(fr, pt) <= 0.08 * (text.count(" ") + 1):
+        return "en"
+    return "fr" if fr >= pt else "pt"
 
 
 def _hidden(line: str) -> list[tuple[int, int]]:
@@ -123,9 +139,10 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             end = CITED.match(line, end).end()
             if any(a <= end < b or a <= m.start() and end == b for a, b in hidden):
                 continue
-            before, after = line[max(start, end - 60) : end], line[end : end + 40]
+            # a longer beginning is marked as cut, so that what stands for the sentence's start isn't found there
+            before = line[start:end] if end - start <= BEFORE else "\0" + line[end - BEFORE : end]
             for does, p, q in rules:
-                if p.search(before) and q.match(after):
+                if p.search(before) and q.match(line, end):
                     break
             else:
                 does = False

@@ -37,3 +37,16 @@ def test_spans_cover_all_but_blanks_and_defined_cases(spark):
             assert "".join(texts[k].split()) == "".join("".join(texts[k][a:b].split()) for a, b in spans)
             assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
     assert sentences.split(df.limit(0), ["id"]).count() == 0
+
+
+def test_languages_of_one_script_have_their_own_tables():
+    assert sentences.table_of("Le juge a dit dans la salle que le contrat est nul devant les parties.") == "fr"
+    assert sentences.table_of("O juiz disse perante os autores que o contrato foi nulo segundo o acordo.") == "pt"
+    assert sentences.table_of("यह अधिकारी ने नगर में कहा और निर्णय मान्य है।") == "hi" and sentences.table_of("न्यायालयाच्या निर्णयानुसार जमीन व भाडे मान्य आहे.") == "mr"
+    assert sentences.table_of("قانون کے مطابق") == "ur" and sentences.table_of("法院认为合同无效。") == "zh" and sentences.table_of("The court.") == "en"
+
+
+def test_far_context_and_many_citation_marks():
+    marks = " [S1]" * 60
+    t = f"The deed was read.{marks} The next one stands. " + "a" * 500 + " 5. b goes on."
+    assert [t[a:b] for a, b in sentences.sentences(t)][:2] == [f"The deed was read.{marks}", "The next one stands."]
