@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions import ids
+from folioscope.functions import ids, vectors
 from folioscope.functions import text as tx
-from folioscope.operators import store
+from folioscope.operators import index, search, store
 from folioscope.session import table
 
 
@@ -118,12 +118,71 @@ def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("id", ids.cache_key(F.col("question"), model=F.lit("m1"), index=F.lit("i1")).alias("key"))
 
 
+def answer_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    g = table(spark, sf, "gold").select("id", "question").distinct()
+    return g.select("id", ids.question_key(F.col("question"), model=F.lit("m1"), index=F.lit("i1")).alias("key"))
+
+
+def unchanged_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that a run may leave out: the store holds their address, hash and the current version of their parser."""
+    v = table(spark, sf, "parser_versions").groupBy("doc_type").agg(F.max_by("parser_version", F.struct("released_at", "parser_version")).alias("parser_version"))
+    d = table(spark, sf, "documents")
+    now = d.select("doc_id", "source_url", "raw_sha256", "doc_type").join(v, "doc_type", "left")
+    due = store.unchanged(now, d, ["source_url", "raw_sha256", "parser_version"])
+    return now.join(due.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+
+
+def postings_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings after the judgments were delivered again with a word more."""
+    c = table(spark, sf, "chunks").select("rowid", "doc_id", "doc_type", "text")
+    stored = search.postings(c, "rowid").join(c.select("rowid", "doc_id"), "rowid")
+    fresh = c.where("doc_type = 'judgment'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" amended")))
+    after = index.postings_after(stored, fresh, fresh, "rowid")
+    return after.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("tf").alias("total"), F.sum(F.when(F.col("term") == "amended", F.col("tf")).otherwise(0)).alias("amended"))
+
+
+def vectors_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of two thirds of the chunks, some from older texts, brought up to all of them."""
+    want, stored = _indexed(spark, sf)
+    v, states = index.vectors_after(stored, want, "chunk_id", "h", vectors.hash_embedder(8))
+    n = v.join(want.select("chunk_id", "h"), ["chunk_id", "h"]).agg(F.count("*").alias("n")).select(F.lit("after").alias("state"), "n")
+    return states.groupBy("state").agg(F.count("*").alias("n")).unionByName(n)
+
+
+def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf, "chunks").where("text is not null and chunk_id is not null")
+    want = c.groupBy("chunk_id").agg(F.max_by(F.struct(F.sha1("text").alias("h"), "text"), F.struct(F.sha1("text"))).alias("x")).select("chunk_id", "x.*")
+    k = F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), F.lit(3))
+    had = want.where(k > 0).select("chunk_id", F.when(k == 1, F.sha1("h")).otherwise(F.col("h")).alias("h"), vectors.hash_embedder(8)("text").alias("embedding"))
+    gone = spark.createDataFrame([("gone", "x", [0.0] * 8)], "chunk_id string, h string, embedding array<float>")
+    return want, had.unionByName(gone)
+
+
+def index_description(spark: SparkSession, sf: str) -> DataFrame:
+    want, stored = _indexed(spark, sf)
+    return index.described(index.vectors_after(stored, want, "chunk_id", "h", vectors.hash_embedder(8))[0], want, "hash-8")
+
+
+def index_health(spark: SparkSession, sf: str) -> DataFrame:
+    """The index before it was brought up to the chunks, under a description of it afterwards."""
+    want, stored = _indexed(spark, sf)
+    return index.health(stored, want, index_description(spark, sf), "hash-8")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (ledger_last_wins, ledger_sources, unchanged_anti, vector_sync, stale_documents, allowed_semi, keep_first, replace_documents, chunk_identity, corpus_hash, page_runs, run_audit, part_numbers, paragraph_islands, successor_join, set_operations, cache_keys)
+    for f in (answer_cache_keys, unchanged_documents, postings_upkeep, vectors_upkeep, index_description, index_health, ledger_last_wins, ledger_sources, unchanged_anti, vector_sync, stale_documents, allowed_semi, keep_first, replace_documents, chunk_identity, corpus_hash, page_runs, run_audit, part_numbers, paragraph_islands, successor_join, set_operations, cache_keys)
 }
 
+_WANT = """WITH w AS (SELECT chunk_id, max(sha1(text)) AS h FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1),
+k AS (SELECT *, ('0x' || left(h, 4))::INT % 3 AS k FROM w) """
 SQL = {
+    "answer_cache_keys": "SELECT DISTINCT id, sha256('{\"q\":' || to_json(lower(trim(regexp_replace(nfc_normalize(question), '\\s+', ' ', 'g'))))::VARCHAR || ',\"index\":\"i1\",\"model\":\"m1\"}') AS key FROM gold",
+    "unchanged_documents": "SELECT doc_id FROM documents d JOIN (SELECT doc_type, arg_max(parser_version, (released_at, parser_version)) AS v FROM parser_versions GROUP BY 1) USING (doc_type) WHERE source_url IS NOT NULL AND raw_sha256 IS NOT NULL AND d.parser_version = v",
+    "postings_upkeep": "WITH c AS (SELECT \"rowid\" AS r, doc_id, regexp_extract_all(lower(coalesce(text, '') || CASE WHEN doc_type = 'judgment' THEN ' amended' ELSE '' END), '[\\p{L}\\p{M}\\p{N}]+') AS t FROM chunks), p AS (SELECT r, doc_id, unnest(t) AS term FROM c) SELECT doc_id, count(DISTINCT (r, term)) AS n, count(*) AS total, count(*) FILTER (term = 'amended') AS amended FROM p GROUP BY 1",
+    "vectors_upkeep": _WANT + "SELECT CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'stale' ELSE 'current' END AS state, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT 'orphan', 1 UNION ALL SELECT 'after', count(*) FROM w",
+    "index_description": _WANT + "SELECT 'hash-8' AS model, 8 AS dimensions, count(*) AS n_vectors, count(*) AS n_chunks, sha256(string_agg(chunk_id, '' ORDER BY chunk_id)) AS corpus_hash FROM w",
+    "index_health": _WANT + "SELECT unnest(['described', 'model', 'dimensions', 'count', 'none missing', 'none too many']) AS check, unnest([true, true, true, n + 1 = m, n = m, false]) AS ok FROM (SELECT count(*) FILTER (k > 0) AS n, count(*) AS m FROM k)",
     "ledger_last_wins": "SELECT url, max(seq) AS seq, arg_max_null(sha256, seq) AS sha256, arg_max_null(bytes, seq) AS bytes, min(seq) AS first_at FROM manifest GROUP BY 1",
     "ledger_sources": "SELECT lower(trim(source)) AS src, json_extract_string(extra, '$.kind') AS kind, count(*) AS n, count(sha256) AS n_fetched, sum(bytes)::BIGINT AS total FROM manifest GROUP BY 1, 2",
     "unchanged_anti": "SELECT url AS source_url, seq FROM manifest m WHERE sha256 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.source_url = m.url AND d.raw_sha256 = m.sha256)",
