@@ -11,6 +11,10 @@ from folioscope.llm import encoding, mixture, neardup, pieces, repeat, scans, se
 from folioscope.session import spread, staged, table
 
 
+#: Reviewed records up to which they are broadcast; more are joined by a shuffle.
+SAMPLE_BOUND = 200_000
+
+
 def _source() -> Column:
     """The source a chunk came from, as part of its address."""
     return F.regexp_extract("source_url", "//[^/]+/([^/]+)/", 1)
@@ -26,6 +30,8 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     sample = table(spark, sf, "review_sample").distinct()
+    few = sample.limit(SAMPLE_BOUND + 1).count() <= SAMPLE_BOUND
+    sample = F.broadcast(sample) if few else sample.hint("merge")
     chunks = table(spark, sf, "chunks").select(F.lit("chunk").alias("record_kind"), F.col("rowid").alias("record_id"), "text")  # rowid is unique
     answers = table(spark, sf, "phase1_acceptance").select(F.lit("answer").alias("record_kind"), F.col("result_id").alias("record_id"), F.col("answer_markdown").alias("text"))
     both = sample.where("record_kind = 'chunk'").join(chunks, ["record_kind", "record_id"]).unionByName(sample.where("record_kind = 'answer'").join(answers, ["record_kind", "record_id"]))
