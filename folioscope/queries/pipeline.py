@@ -220,7 +220,20 @@ FROM f JOIN b USING (result_id) LEFT JOIN z USING (result_id) LEFT JOIN y USING
 _MENTIONS = """WITH q AS (SELECT result_id::VARCHAR AS query_id, question FROM phase1_acceptance WHERE question IS NOT NULL),
 m AS (SELECT query_id, question, id AS names, strpos(lower(question), lower(title)) - 1 AS start, length(title) AS n FROM q JOIN statutes ON contains(lower(question), lower(title))) """
 _REFS = _MENTIONS + """, r AS (SELECT query_id, unnest(regexp_extract_all(question, '(?i)(?:\\b(?:section|sec\\.?|s\\.|u/s\\.?|ss\\.)\\s*|धारा\\s*)(\\d{1,3}[A-Z]{0,2})', 1)) AS section FROM q), f AS (SELECT query_id, 0::BIGINT AS seq, names AS act, upper(section) AS section, NULL::VARCHAR AS sub FROM r LEFT JOIN m USING (query_id)) """
+_WORDS_IN = "len(regexp_extract_all({}, '[^\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'))"
+_SAYS = "list_filter(list_transform(string_split(regexp_replace(line, '([.;:?!][”\"'']?)\\s+([“\"(A-Z0-9\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+_PACKED = f"""WITH RECURSIVE l AS (SELECT "rowid" AS chunk, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS o FROM chunks WHERE text IS NOT NULL),
+k AS (SELECT *, {_WORDS_IN.format('line')} > 50 AS big FROM l WHERE trim(line) <> ''),
+e AS (SELECT chunk, o, big, unnest(CASE WHEN big THEN {_SAYS} ELSE [line] END) AS t, unnest(range(CASE WHEN big THEN len({_SAYS}) ELSE 1 END)) AS j FROM k),
+i AS (SELECT chunk, row_number() OVER (PARTITION BY chunk ORDER BY o, j) AS i, CASE WHEN big THEN o::VARCHAR ELSE '-' END AS key, {_WORDS_IN.format('t')} AS n FROM e),
+w AS (SELECT chunk, i, 0::BIGINT AS piece, n AS used, key, n FROM i WHERE i = 1
+  UNION ALL SELECT i.chunk, i.i, CASE WHEN i.key <> w.key OR used + i.n > 50 THEN piece + 1 ELSE piece END, CASE WHEN i.key <> w.key OR used + i.n > 50 THEN i.n ELSE used + i.n END, i.key, i.n FROM w JOIN i ON i.chunk = w.chunk AND i.i = w.i + 1)
+SELECT chunk, piece, sum(n)::BIGINT AS n FROM w GROUP BY 1, 2"""
 SQL = {
+    "pack_passages": _PACKED,
+    "lookup_notes": _REFS
+    + """SELECT query_id, 0::INTEGER AS seq, CASE WHEN EXISTS (SELECT 1 FROM chunks c WHERE c.doc_type = 'statute' AND c.act_title = s.short_title) THEN 'Section ' || section || ' of ' || short_title || ' was not found.' ELSE 'The text of ' || short_title || ' is not held.' END AS note
+FROM f JOIN statutes s ON s.id = f.act WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.doc_type = 'statute' AND c.act_title = s.short_title AND c.section = f.section)""",
     "checked_answers": _checked(),
     "act_mentions": _MENTIONS + "SELECT query_id, names, start, start + n AS \"end\" FROM m",
     "section_refs": _REFS + "SELECT * FROM f",
