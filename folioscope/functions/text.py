@@ -214,3 +214,28 @@ def case_header(title: Column, court: Column, decided: Column, judges: Column, a
     bench = F.when(F.size(judges) > 0, F.concat(F.lit("Bench: "), F.array_join(judges, ", "), F.coalesce(F.concat(F.lit(" (author: "), F.nullif(author, F.lit("")), F.lit(")")), F.lit(""))))
     said = lambda name, c: F.concat(F.lit(f"{name}: "), F.nullif(c, F.lit("")))
     return F.concat_ws("\n", title, F.concat(court, F.lit(" — decided "), decided), bench, said("Citation", cites), said("Disposal", disposal), said("CNR", cnr))
+
+
+def free_of(warnings: Column | str, prefixes: list[str]) -> Column:
+    """Whether no warning begins with one of the prefixes, so that an answer may be kept; null and empty lists have none."""
+    starts = lambda w: reduce(lambda x, p: x | F.startswith(w, F.lit(p)), prefixes, F.lit(False))
+    return ~F.coalesce(F.exists(col(warnings), lambda w: F.coalesce(starts(w), F.lit(False))), F.lit(False))
+
+
+def in_band(top: Column, height: Column, above: float = 0.16, below: float = 0.14) -> Column:
+    """Whether a line stands in the upper or lower band of its page, where running lines are."""
+    return (top < height * above) | (top > height * (1 - below))
+
+
+def without_section(c: Column | str, heading: str) -> Column:
+    """The text without the section under a bold heading, up to the next bold heading or the end."""
+    return F.regexp_replace(F.regexp_replace(col(c), rf"(?is)\n*[ \t]*\*\*{heading}:?\*\*:?.*?(?=\n\s*\*\*|\z)", ""), r"\s+$", "")
+
+
+def year_list(said: str) -> list[int]:
+    """2016-2025 or 2019,2021, or both together, as years in order, each once."""
+    years: set[int] = set()
+    for part in said.split(","):
+        ends = [int(x) for x in part.strip().split("-")]
+        years |= set(range(ends[0], ends[-1] + 1))
+    return sorted(years)

@@ -169,14 +169,55 @@ def index_health(spark: SparkSession, sf: str) -> DataFrame:
     return index.health(stored, want, index_description(spark, sf), "hash-8")
 
 
+def ledger_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses of the ledger that no document has: what a build has to refuse."""
+    m = table(spark, sf, "manifest").where("url is not null").select("url", F.lower(F.trim("source")).alias("source")).distinct()
+    d = table(spark, sf, "documents").where("source_url is not null").select(F.col("source_url").alias("url"), F.lit(True).alias("known")).distinct()
+    return m.join(d, "url", "left").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("known").isNull()).alias("refused"))
+
+
+def cacheable_answers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "phase1_acceptance").select("result_id", tx.free_of("warnings", ["Removed", "No "]).alias("kept"))
+
+
+def laws_of_years(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "statutes").where(F.col("act_year").isin(tx.year_list("1900-1939, 1944,1962"))).select("id", "act_year")
+
+
+def shortened_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers without the section that a model wrote under Details."""
+    a = table(spark, sf, "phase1_acceptance").where("answer_markdown is not null")
+    return a.select("result_id", F.length(tx.without_section("answer_markdown", "Details")).cast("bigint").alias("n"))
+
+
+def case_sidecars(spark: SparkSession, sf: str) -> DataFrame:
+    """What a judgment's file beside it says, as JSON."""
+    c = table(spark, sf, "chunks").where("doc_type = 'judgment'")
+    one = c.groupBy("doc_id").agg(*[F.coalesce(F.min(x), F.lit("")).alias(x) for x in ("case_title", "cnr", "court", "decision_date")])
+    return one.select("doc_id", F.to_json(F.struct("case_title", "cnr", "court", "decision_date")).alias("sidecar"))
+
+
+def repeal_cited(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether an answer cites a repealed law, and whether it shares a section with what it used."""
+    r = table(spark, sf, "statutes").where("status = 'repealed'").agg(F.coalesce(F.collect_list("short_title"), F.array().cast("array<string>")).alias("gone"))  # a register
+    a = table(spark, sf, "phase1_acceptance").select("result_id", F.transform("cited", lambda c: c["act"]).alias("acts"))
+    return a.crossJoin(F.broadcast(r)).select("result_id", F.coalesce(~F.arrays_overlap(F.array_compact("acts"), "gone"), F.lit(True)).alias("apart"))  # one row
+
+
 QUERIES = {
     f.__name__: f
-    for f in (answer_cache_keys, unchanged_documents, postings_upkeep, vectors_upkeep, index_description, index_health, ledger_last_wins, ledger_sources, unchanged_anti, vector_sync, stale_documents, allowed_semi, keep_first, replace_documents, chunk_identity, corpus_hash, page_runs, run_audit, part_numbers, paragraph_islands, successor_join, set_operations, cache_keys)
+    for f in (ledger_unknown, cacheable_answers, laws_of_years, shortened_answers, case_sidecars, repeal_cited, answer_cache_keys, unchanged_documents, postings_upkeep, vectors_upkeep, index_description, index_health, ledger_last_wins, ledger_sources, unchanged_anti, vector_sync, stale_documents, allowed_semi, keep_first, replace_documents, chunk_identity, corpus_hash, page_runs, run_audit, part_numbers, paragraph_islands, successor_join, set_operations, cache_keys)
 }
 
 _WANT = """WITH w AS (SELECT chunk_id, max(sha1(text)) AS h FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1),
 k AS (SELECT *, ('0x' || left(h, 4))::INT % 3 AS k FROM w) """
 SQL = {
+    "ledger_unknown": "SELECT source, count(*) AS n, count(*) FILTER (url NOT IN (SELECT source_url FROM documents WHERE source_url IS NOT NULL)) AS refused FROM (SELECT DISTINCT url, lower(trim(source)) AS source FROM manifest WHERE url IS NOT NULL) GROUP BY 1",
+    "cacheable_answers": "SELECT result_id, len(list_filter(coalesce(warnings, []), lambda w: starts_with(w, 'Removed') OR starts_with(w, 'No '))) = 0 AS kept FROM phase1_acceptance",
+    "laws_of_years": "SELECT id, act_year FROM statutes WHERE act_year BETWEEN 1900 AND 1939 OR act_year IN (1944, 1962)",
+    "shortened_answers": "SELECT result_id, length(regexp_replace(regexp_replace(answer_markdown, '(?is)\\n*[ \\t]*\\*\\*Details:?\\*\\*:?.*?(\\n\\s*\\*\\*|\\z)', '\\1', 'g'), '\\s+$', '')) AS n FROM phase1_acceptance WHERE answer_markdown IS NOT NULL",
+    "case_sidecars": "SELECT doc_id, '{\"case_title\":' || to_json(coalesce(min(case_title), ''))::VARCHAR || ',\"cnr\":' || to_json(coalesce(min(cnr), ''))::VARCHAR || ',\"court\":' || to_json(coalesce(min(court), ''))::VARCHAR || ',\"decision_date\":' || to_json(coalesce(min(decision_date), ''))::VARCHAR || '}' AS sidecar FROM chunks WHERE doc_type = 'judgment' GROUP BY 1",
+    "repeal_cited": "WITH c AS (SELECT result_id, unnest(cited) AS c FROM phase1_acceptance) SELECT result_id, result_id NOT IN (SELECT result_id FROM c WHERE c.act IN (SELECT short_title FROM statutes WHERE status = 'repealed')) AS apart FROM phase1_acceptance",
     "answer_cache_keys": "SELECT DISTINCT id, sha256('{\"q\":' || to_json(lower(trim(regexp_replace(nfc_normalize(question), '\\s+', ' ', 'g'))))::VARCHAR || ',\"index\":\"i1\",\"model\":\"m1\"}') AS key FROM gold",
     "unchanged_documents": "SELECT doc_id FROM documents d JOIN (SELECT doc_type, arg_max(parser_version, (released_at, parser_version)) AS v FROM parser_versions GROUP BY 1) USING (doc_type) WHERE source_url IS NOT NULL AND raw_sha256 IS NOT NULL AND d.parser_version = v",
     "postings_upkeep": "WITH c AS (SELECT \"rowid\" AS r, doc_id, regexp_extract_all(lower(coalesce(text, '') || CASE WHEN doc_type = 'judgment' THEN ' amended' ELSE '' END), '[\\p{L}\\p{M}\\p{N}]+') AS t FROM chunks), p AS (SELECT r, doc_id, unnest(t) AS term FROM c) SELECT doc_id, count(DISTINCT (r, term)) AS n, count(*) AS total, count(*) FILTER (term = 'amended') AS amended FROM p GROUP BY 1",

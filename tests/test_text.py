@@ -84,3 +84,11 @@ def test_lay_terms_and_states(spark):
     d = spark.createDataFrame([("He was Thrown  out and thrown-out",), ("the जमानत।",), ("throwing out",), (None,)], "t string")
     got = [(r.m, r.w) for r in d.select(registry.matched(F.coalesce("t", F.lit("")), entries).alias("m"), registry.rewritten(F.col("t"), registry.matched(F.coalesce("t", F.lit("")), entries)).alias("w")).collect()]
     assert got == [(["eviction"], "He was Thrown  out and thrown-out (eviction)"), (["bail"], "the जमानत। (bail)"), ([], "throwing out"), ([], None)]
+
+
+def test_years_bands_and_warnings(spark):
+    assert tx.year_list("2016-2018") == [2016, 2017, 2018] and tx.year_list("2021, 2019,2019-2020") == [2019, 2020, 2021]
+    d = spark.createDataFrame([(10.0, 100.0, ["x", None]), (50.0, 100.0, ["Removed 1"]), (90.0, 100.0, None)], "t double, h double, w array<string>")
+    assert [tuple(r) for r in d.select(tx.in_band(F.col("t"), F.col("h")), tx.free_of("w", ["Removed"])).collect()] == [(True, True), (False, False), (True, True)]
+    one = spark.createDataFrame([("a\n\n**Details:** gone\nstill\n\n**Next** b ",), ("**Details** all",), (None,)], "t string")
+    assert [r[0] for r in one.select(tx.without_section("t", "Details")).collect()] == ["a\n\n**Next** b", "", None]
