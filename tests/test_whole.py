@@ -39,4 +39,4 @@ def test_answers_are_held_against_all_cited_chunks(spark, tmp_path):
         statutes=([("d", "The Deeds Act, 1908", "Deeds Act, 1908", ["Deeds Act"], None)], "id string, title string, short_title string, aliases array<string>, successor string"),
     )
     (r,) = pipeline.checked_answers(spark, sf).collect()
-    assert (r.used, r.unknown, r.quotes, r.removed) == (["S61"], [], [], [])
+    assert (r.used, r.unknown, r.quotes, r.n_removed) == ("S61", "", "", 0)
