@@ -1,10 +1,11 @@
 """Problem 6: train, dev and test sets that keep related records together.
 
 Units are the connected components of records that share a group or a citation. Units of equal size and label profile are
-a bundle. Min-cost flow routes the rows of each bundle to the splits: within a bundle's own shares a row costs nothing,
-beyond them its deviation grows convexly, while each split takes at most its quota of all rows. What rounding the flows down
-to whole units leaves over is routed by a flow of whole units, size by size, and the units of a bundle go to the splits by
-seeded hash order.
+a bundle. A bundle's own shares of rows cost nothing and those of all bundles just fill the quotas, so they are the min-cost
+flow of rows. What rounding them down to whole units leaves over is routed by a flow of whole units, size by size, in which
+bundles that differ by their labels alone are one node: it says how many of their units each split takes, these are dealt to
+the bundles in turn, in seeded hash order, and so are the units of a bundle to the splits. Thus no number of bundles changes
+the rule, and the driver sees only the pairs of size and units that occur.
 
 Defined results: identical duplicate rows count once; null, empty and blank groups and citations relate nothing; a record
 related to none is a unit of its own; an empty table gives an empty result. Units larger than a quota are put whole into
@@ -14,6 +15,7 @@ the split with the most room.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from folioscope.llm.ranks import running
 from folioscope.session import staged
 
 SHARES = (("train", 0.8), ("dev", 0.1), ("test", 0.1))
-#: Kinds of units (size, label profile) up to which the flow is solved by kind; beyond them by size alone.
+#: Kinds of units (size, label profile) up to which their shares are broadcast; more are joined by a shuffle, with equal results.
 BUNDLES_BOUND = 2_000
 
 
@@ -56,51 +58,76 @@ def leaking(gold: DataFrame) -> DataFrame:
     return u.join(bad, "unit", "left_semi").select("id").distinct()
 
 
-def quotas(bundles: list[tuple[int, int]], shares: tuple = SHARES) -> list[list[int]]:
-    """Units of each bundle (size, units) for each split, by min-cost flow and integral rounding."""
-    total = sum(s * n for s, n in bundles)
-    net, edges = Flow(), {}
-    for b, (s, n) in enumerate(bundles):
-        net.edge("rows", ("bundle", b), s * n)
-        for name, share in shares:
-            own = s * n * share
-            # the first part is the bundle's own share; each further part costs more
-            edges[b, name] = [net.edge(("bundle", b), name, own, 0.0)] + [net.edge(("bundle", b), name, max(s, own), k) for k in (1.0, 2.0, 4.0)] + [net.edge(("bundle", b), name, s * n, 8.0)]
-    for name, share in shares:
-        net.edge(name, "out", total * share, 0.0)
-        net.edge(name, "out", total, 100.0)
-    net.solve("rows", "out")
-    whole, parts = [], []
-    for b, (s, _) in enumerate(bundles):
-        sent = {name: sum(net.flow_of(e) for e in edges[b, name]) / s for name, _ in shares}
-        whole.append({name: math.floor(x + 1e-9) for name, x in sent.items()})
-        parts.append({name: x - whole[b][name] for name, x in sent.items()})
-    given = {name: sum(w[name] * s for w, (s, _) in zip(whole, bundles, strict=True)) for name, _ in shares}
-    left = {b: n - sum(whole[b].values()) for b, (_, n) in enumerate(bundles)}
-    for size in sorted({bundles[b][0] for b in left if left[b]}, reverse=True):
-        same = [b for b in left if bundles[b][0] == size and left[b]]
-        for (b, name), k in rounded({b: left[b] for b in same}, size, {b: parts[b] for b in same}, {name: total * share - given[name] for name, share in shares}).items():
-            whole[b][name] += k
-            given[name] += k * size
-    return [[w[name] for name, _ in shares] for w in whole]
-
-
-def rounded(left: dict[int, int], size: int, parts: dict[int, dict[str, float]], lack: dict[str, float]) -> dict[tuple[int, str], int]:
+def _own(units: int, shares: tuple) -> list[float]:
+    """A bundle's own shares of its units."""
+    whole = math.fsum(share for _, share in shares)
+    return [units * share / whole for _, share in shares]
+
+
+def _floors(units: int, shares: tuple) -> list[int]:
+    return [math.floor(x + 1e-9) for x in _own(units, shares)]
+
+
+def quotas(bundles: list[tuple[int, int]], shares: tuple = SHARES, kinds: list[int] | None = None) -> list[list[int]]:
+    """Units for each split of each entry of `bundles` (size, units); `kinds` says how many such bundles an entry stands for."""
+    kinds = kinds or [1] * len(bundles)
+    total = sum(s * n * m for (s, n), m in zip(bundles, kinds, strict=True))
+    lack = dict(zip((name for name, _ in shares), _own(total, shares), strict=True))
+    whole, alike = [], {}
+    for e, ((s, n), m) in enumerate(zip(bundles, kinds, strict=True)):
+        floors = _floors(n, shares)
+        whole.append([x * m for x in floors])
+        for name, x in zip(lack, floors, strict=True):
+            lack[name] -= x * m * s
+        if left := n - sum(floors):
+            parts = tuple(round(x - f, 9) for x, f in zip(_own(n, shares), floors, strict=True))
+            alike.setdefault(s, {}).setdefault((left, parts), []).append(e)
+    for size in sorted(alike, reverse=True):
+        same = dict(enumerate(alike[size].items()))
+        many = {c: sum(kinds[e] for e in es) for c, (_, es) in same.items()}
+        sent = rounded({c: left * many[c] for c, ((left, _), _) in same.items()}, size, {c: dict(zip(lack, parts, strict=True)) for c, ((_, parts), _) in same.items()}, lack, many)
+        for c, (_, es) in same.items():
+            at = 0
+            for k, name in enumerate(lack):
+                to, first = at + sent[c, name], 0
+                for e in es:
+                    whole[e][k] += _dealt(to, many[c], first, kinds[e]) - _dealt(at, many[c], first, kinds[e])
+                    first += kinds[e]
+                at = to
+        for (_, name), n in sent.items():
+            lack[name] -= n * size
+    return whole
+
+
+def _dealt(cards: int, players: int, first: int, some: int) -> int:
+    """How many of so many cards, dealt to the players in turn, the `some` players from `first` on get."""
+    return cards // players * some + min(max(cards % players - first, 0), some)
+
+
+def rounded(left: dict[int, int], size: int, parts: dict[int, dict[str, float]], lack: dict[str, float], kinds: dict[int, int] | None = None) -> dict[tuple[int, str], int]:
     """Whole units (bundle, split) of the units of one size that rounding down has left over, by a min-cost flow of units.
 
     Capacities are whole, so the flow is: each further unit in a split costs what it adds to |rows given - rows wanted|, and
-    among equals a unit goes where its bundle's flow was cut most.
+    among equals a unit goes where its bundle's flow was cut most. A bundle of `kinds` stands for so many that are cut alike:
+    dealt in turn, no one of them gets two units in a split while another has none, so the costs are those of single ones.
     """
+    kinds = kinds or dict.fromkeys(left, 1)
+    grain = 2.0 ** min(36, 48 - size.bit_length())
+
+    def even(cost: float) -> float:
+        # a multiple of a power of two, so that sums of costs are exact and no way round looks cheaper than none
+        return round(cost * grain) / grain
+
     net, edges, n = Flow(), {}, sum(left.values())
     for b, k in left.items():
         net.edge("units", ("bundle", b), k)
         for name in lack:
-            edges[b, name] = [net.edge(("bundle", b), name, 1, 1e-3 * (1 - parts[b][name])), net.edge(("bundle", b), name, k, 2e-3)]
+            edges[b, name] = [net.edge(("bundle", b), name, kinds[b], even(1e-3 * (1 - parts[b][name]))), net.edge(("bundle", b), name, k, even(2e-3))]
     for name, rows in lack.items():
         # convex: units that a split lacks gain their size, the one across its quota less, the rest lose it
         fits = min(n, max(0, math.floor(rows / size)))
         net.edge(name, "out", fits, size)
-        net.edge(name, "out", 1, 2 * size + abs(rows - (fits + 1) * size) - abs(rows - fits * size))
+        net.edge(name, "out", 1, even(2 * size + abs(rows - (fits + 1) * size) - abs(rows - fits * size)))
         net.edge(name, "out", n, 3 * size)
     net.solve("units", "out")
     return {key: round(sum(net.flow_of(e) for e in es)) for key, es in edges.items()}
@@ -115,21 +142,23 @@ def assigned(gold: DataFrame, label: str = "language", seed: int = 17, shares: t
     profile = F.array_sort(F.collect_list(F.struct("label", "n")))  # one entry per label
     one = per.groupBy("unit").agg(F.sum("n").alias("size"), F.to_json(profile).alias("profile"))
     one = staged(one, "sizes")
-    kinds = one.groupBy("size", "profile").agg(F.count("*").alias("units"))
-    if kinds.limit(BUNDLES_BOUND + 1).count() > BUNDLES_BOUND:
-        # so many label profiles that they aren't kept apart; different sizes are at most the root of twice the rows
-        one = one.withColumn("profile", F.lit(""))
-        kinds = one.groupBy("size", "profile").agg(F.count("*").alias("units"))
-    bundles = kinds.orderBy(F.desc("size"), "profile").collect()  # kinds of units, not units
-    whole = quotas([(r["size"], r["units"]) for r in bundles], shares)
+    kinds = staged(one.groupBy("size", "profile").agg(F.count("*").alias("units")), "kinds")
+    # at least size x units rows stand behind each entry, so that entries grow as the root of the rows times their logarithm
+    equal = kinds.groupBy("size", "units").agg(F.count("*").alias("kinds")).orderBy(F.desc("size"), F.desc("units")).collect()
+    whole = quotas([(r["size"], r["units"]) for r in equal], shares, [r["kinds"] for r in equal])
     rows = []
-    for r, counts in zip(bundles, whole, strict=True):
-        at = 0
-        for (name, _), n in zip(shares, counts, strict=True):
-            if n:
-                rows.append((r["size"], r["profile"], name, at, at + n))
-                at += n
-    ranges = spark.createDataFrame(rows, "size bigint, profile string, new_split string, lo bigint, hi bigint")
+    for r, counts in zip(equal, whole, strict=True):
+        floors = _floors(r["units"], shares)
+        over = [n - x * r["kinds"] for n, x in zip(counts, floors, strict=True)]
+        rows.append((*r, list(accumulate(floors)), list(accumulate(over))))
+    dealt = spark.createDataFrame(rows, "size bigint, units bigint, kinds bigint, floors array<bigint>, over array<bigint>")
+    # the ranks at which each split ends: whole shares, and of the units left over those that fall to the kind in its turn
+    ends = F.expr("zip_with(floors, over, (f, o) -> f + (o - nth + kinds - 1) div kinds)")
+    turns = running(kinds, ["size", "units"], seed, "profile", None, "nth").join(F.broadcast(dealt), ["size", "units"])
+    turns = turns.select("size", "profile", ends.alias("ends"))
+    few = kinds.limit(BUNDLES_BOUND + 1).count() <= BUNDLES_BOUND
     ranked = running(one, ["size", "profile"], seed, "unit", None, "rank")
-    placed = ranked.join(F.broadcast(ranges), ["size", "profile"]).where("rank >= lo and rank < hi")  # kinds of units x 3 rows
+    placed = ranked.join(F.broadcast(turns) if few else turns.hint("merge"), ["size", "profile"])
+    names = F.array(*[F.lit(name) for name, _ in shares])
+    placed = placed.withColumn("new_split", F.get(names, F.size(F.filter("ends", lambda e: e <= F.col("rank")))))
     return u.join(placed.select("unit", "size", "new_split"), "unit").select("id", "unit", "size", "new_split")

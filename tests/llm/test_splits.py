@@ -134,6 +134,42 @@ def test_many_kinds_of_units_are_told_apart_by_size_alone(spark, monkeypatch):
     assert abs(sum(r.new_split == "train" for r in got) - 320) <= max(r.size for r in got)
 
 
+def test_the_number_of_kinds_of_units_changes_no_result(spark, monkeypatch):
+    rows = [(i, g, s, random.Random(i).choice("abcdefgh"), c) for i, g, s, _, c in gold(1500)]  # equal rows keep equal labels
+    rows += [(f"x{i}", None, None, "abc"[i % 3], None) for i in range(200)]
+    df = spark.createDataFrame(rows, GOLD)
+    want = {r.id: (r.unit, r.size, r.new_split) for r in splits.assigned(df).collect()}
+    labels, kinds = {r[0]: r[3] for r in rows}, {}
+    members = {}
+    for i, (u, _, new) in want.items():
+        members.setdefault((u, new), []).append(labels[i])
+    for (_, new), of in members.items():
+        kinds.setdefault(tuple(sorted(of)), []).append(new)
+    assert len(kinds) > 10
+    for news in kinds.values():  # each kind has its own shares, but for rounding
+        for name, share in splits.SHARES:
+            assert abs(news.count(name) - share * len(news)) < 1
+    monkeypatch.setattr(splits, "BUNDLES_BOUND", 2)
+    assert {r.id: (r.unit, r.size, r.new_split) for r in splits.assigned(df).collect()} == want
+
+
+def test_equal_bundles_in_one_entry_get_what_single_ones_get():
+    draw = random.Random(11)
+    for _ in range(60):
+        bundles = sorted(((draw.randint(1, 6), draw.randint(1, 25)) for _ in range(40)), reverse=True)
+        entries = sorted(set(bundles), reverse=True)
+        single = splits.quotas(bundles)
+        want = [[sum(x[k] for b, x in zip(bundles, single, strict=True) if b == e) for k in range(3)] for e in entries]
+        assert splits.quotas(entries, kinds=[bundles.count(e) for e in entries]) == want
+
+
+def test_quotas_of_large_units_end():
+    draw = random.Random(1)  # with costs that weren't exact in sums, no draw like this one came to an end
+    bundles = sorted(((draw.randint(10**5, 10**6), draw.randint(1, 3)) for _ in range(6)), reverse=True)
+    bundles = [b for b in bundles for _ in range(3)]
+    assert [sum(x) for x in splits.quotas(bundles)] == [n for _, n in bundles]
+
+
 def test_the_largest_mixture_is_found_by_cuts():
     random.seed(3)
     for _ in range(60):
