@@ -10,16 +10,18 @@ from folioscope.functions import text as tx
 RRF_K = 60
 
 
-def rrf(lists: DataFrame, pins: DataFrame | None = None, k: int = RRF_K, query: str = "query_id", key: str = "chunk") -> DataFrame:
+def rrf(lists: DataFrame, pins: DataFrame | None = None, k: int = RRF_K, query: str = "query_id", key: str = "chunk", carry: tuple[str, ...] = ()) -> DataFrame:
     """(query, key, fused, score, ranks map): reciprocal rank fusion of long lists (query, list_name, list_seq, key, rank).
 
     A key that a list holds twice counts twice, its later rank stays in the map. Pins (query, key, pin) come first in their
     order, with score 0 if no list has them. Ties: the list that came first, then the rank in it, then the key.
+    carry: columns of the lists that are the same wherever a key stands.
     """
     by = lists.groupBy(query, key).agg(
         F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("score"),
         F.min(F.struct("list_seq", "rank")).alias("_first"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("list_name", "rank")))).alias("ranks") if pins is None else F.collect_list(F.struct("list_name", "rank")).alias("_ranks"),  # one entry per list
+        *[F.max(c).alias(c) for c in carry],
     )
     order = [F.desc("score"), F.col("_first.list_seq"), F.col("_first.rank"), F.col(key)]
     if pins is not None:
@@ -29,7 +31,7 @@ def rrf(lists: DataFrame, pins: DataFrame | None = None, k: int = RRF_K, query:
         by = by.withColumn("score", F.coalesce("score", F.lit(0.0)))
         order = [F.col("pin").asc_nulls_last(), *order]
     out = by.withColumn("fused", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
-    return out.select(query, key, "fused", "score", "ranks", *([F.col("pin")] if pins is not None else []))
+    return out.select(query, key, "fused", "score", "ranks", *([F.col("pin")] if pins is not None else []), *carry)
 
 
 def two_voters(fused: DataFrame, rerank: str = "rerank_score", pinned: Column | None = None, pool: int = 30, k: int = RRF_K, query: str = "query_id") -> DataFrame:

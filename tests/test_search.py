@@ -123,3 +123,21 @@ def test_phrases_count_in_every_plan(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(search.np, "unique", lambda x, **k: x[:0])  # as if two terms had one hash
         assert found() == want
+
+
+def test_batches_of_any_size_stay_in_the_tasks(spark, monkeypatch):
+    random.seed(5)
+    words = [f"w{int(random.paretovariate(0.5)) % 40}" for _ in range(4000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 19 : i * 19 + i % 19])) for i in range(200)], "chunk bigint, text string")
+    qs = spark.createDataFrame([(f"q{i}", " ".join(f"w{(i * 7 + j) % 45}" for j in range(i % 6))) for i in range(40)], "query_id string, question string")
+    held = F.col("chunk") % 3 == 0
+    said = lambda **x: sorted((r.query_id, r.chunk, r.score, r["rank"], r.matched, r.third) for r in search.bm25(qs, docs, "chunk", k=5, where=F.col("chunk") % 2 == 0, flags={"third": held}, matched=True, **x).collect())
+    with monkeypatch.context() as m:  # as with more different phrases than PHRASES: joined to the postings
+        m.setattr(search, "PHRASES", -1)
+        want = said()
+    monkeypatch.setattr(search, "TERMS_BOUND", 1)
+    monkeypatch.setattr(search, "_joined", None)
+    assert said() == want and len(want) > 100
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 9)
+    assert said() == want
