@@ -20,6 +20,26 @@ def banded(df: DataFrame, key: str, equal: list[str], value: str, width: float)
     return left.join(right, [*equal, "_b"]).where((F.col(key) != F.col("other")) & F.col("_w").between(F.col("_v") - width, F.col("_v") + width)).select(key, "other")
 
 
+def band_counts(df: DataFrame, key: str, equal: list[str], value: str, width: float) -> DataFrame:
+    """(key, n): how many rows `banded` would give a key, without making them; keys that it gives none don't come out.
+
+    Rows of equal values are counted first. A value's band is what a running count gained from its lower to its upper end; the
+    counts run over bins of the width, with the points of the bins beside, so that no group is sorted as a whole.
+    """
+    d = df.select(*equal, key, F.col(value).alias("_v")).dropna()
+    points = d.groupBy(*equal, "_v").agg(F.count("*").alias("_c"))
+    bin_ = F.floor(F.col("_v") / width)
+    end = lambda kind, at: points.select(*equal, bin_.alias("_b"), at.alias("_at"), F.lit(kind).alias("_kind"), "_v", F.lit(0).cast("bigint").alias("_c"))
+    inside = points.select(*equal, F.explode(F.sequence(bin_ - 2, bin_ + 1)).alias("_b"), F.col("_v").alias("_at"), F.lit(1).alias("_kind"), "_v", "_c")
+    both = end(0, F.col("_v") - width).unionByName(inside).unionByName(end(2, F.col("_v") + width))
+    run = F.sum("_c").over(Window.partitionBy(*equal, "_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("_run", run).where("_kind != 1").groupBy(*equal, "_v").agg(F.sum(F.when(F.col("_kind") == 2, F.col("_run")).otherwise(-F.col("_run"))).alias("_near"))
+    # less those of the same key
+    by = ", ".join(f"`{c}`" for c in (*equal, key))
+    own = F.expr(f"count(*) OVER (PARTITION BY {by} ORDER BY _v RANGE BETWEEN {float(width)}D PRECEDING AND {float(width)}D FOLLOWING)")
+    return d.withColumn("_own", own).join(near, [*equal, "_v"]).groupBy(key).agg(F.sum(F.col("_near") - F.col("_own")).alias("n")).where("n > 0")
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, time: str, key: str) -> DataFrame:
     """left with `matched`, the key of the last right row of the same `by` at or before it (of ties the greatest key).
 

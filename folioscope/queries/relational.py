@@ -19,7 +19,7 @@ def jurisdiction_codes(spark: SparkSession, sf: str) -> DataFrame:
 def range_join(spark: SparkSession, sf: str) -> DataFrame:
     """Parts in the price band of another part of their brand: a range within equal keys."""
     p = table(spark, sf, "part")
-    return sel.banded(p.select("p_partkey", "p_brand", "p_retailprice"), "p_partkey", ["p_brand"], "p_retailprice", 2.0).groupBy("p_partkey").agg(F.count("*").alias("n"))
+    return sel.band_counts(p, "p_partkey", ["p_brand"], "p_retailprice", 2.0)
 
 
 def nearest_before(spark: SparkSession, sf: str) -> DataFrame:
