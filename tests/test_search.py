@@ -141,3 +141,23 @@ def test_batches_of_any_size_stay_in_the_tasks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 7)
     monkeypatch.setattr(search, "BLOCK_TERMS", 9)
     assert said() == want
+
+
+def test_counts_in_a_band_without_its_pairs(spark):
+    random.seed(6)
+    rows = [(random.choice([1, 2, 3, i, i, i, None]), random.choice(["a", "b", None]), random.choice([None, 2.0, 4.0, round(random.uniform(-5, 5), 1), round(random.uniform(-5, 5), 1)])) for i in range(10, 160)]
+    rows += [(900, "a", 2 - 2**-52), (901, "a", 4.0), (902, "c", 7.0)]
+    d = spark.createDataFrame(rows, "k int, brand string, price double")
+    want = {}
+    for k, b, v in rows:
+        if None not in (k, b, v) and (n := sum(c == b and j is not None and j != k and w is not None and v - 2 <= w <= v + 2 for j, c, w in rows)):
+            want[k] = want.get(k, 0) + n
+    got = sel.band_counts(d, "k", ["brand"], "price", 2.0).collect()
+    assert {r.k: r.n for r in got} == want and len(got) == len(want)
+
+
+def test_a_band_of_many_equal_values(spark, tmp_path):
+    from folioscope.queries import relational
+
+    spark.range(200_000).selectExpr("id AS p_partkey", "'b' AS p_brand", "9.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in relational.range_join(spark, str(tmp_path)).groupBy("n").count().collect()] == [(199_999, 200_000)]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from folioscope.operators import search
 from folioscope.plans import answer
 from folioscope.queries import ledger, pipeline
 
@@ -40,3 +41,20 @@ def test_answers_are_held_against_all_cited_chunks(spark, tmp_path):
     )
     (r,) = pipeline.checked_answers(spark, sf).collect()
     assert (r.used, r.unknown, r.quotes, r.n_removed) == ("S61", "", "", 0)
+
+
+def test_passages_of_other_documents_are_not_scored(spark, monkeypatch):
+    texts = ["rent is due", "rent", "the deed of rent and rent", "fence", None]
+    p = spark.createDataFrame([(f"u{d}", i, t, len((t or "").split())) for d in range(3) for i, t in enumerate(texts[d:])], "doc_id string, n bigint, text string, words int")
+    t = spark.createDataFrame([("q", "When is rent due?", "u0"), ("q", "Rent of a fence?", "u2"), ("r", "fence rent", "u0")], "query_id string, question string, doc_id string")
+    own = p.withColumn("pid", F.struct("doc_id", "n"))
+    every = {(r.query_id, r.pid): r.score for r in search.bm25(t, own, "pid", k=None).collect()}
+    monkeypatch.setattr(search, "_joined", None)
+    pairs = t.select("query_id", "doc_id").join(own, "doc_id")
+    got = {(r.query_id, r.pid): r.score for r in search.bm25_of(t, pairs, own, "pid").collect()}
+    asked = {(r.query_id, r.pid) for r in pairs.collect()}
+    assert got == {k: v for k, v in every.items() if k in asked} and 0 < len(got) < len(every)
+    chosen = sorted(map(tuple, answer.selected_passages(p, t, 4, 0).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(answer, "bm25_of", lambda q, pairs, docs, key: search.bm25(q, docs, key, k=None))
+    assert chosen == sorted(map(tuple, answer.selected_passages(p, t, 4, 0).collect())) != []
